@@ -28,7 +28,7 @@ FEATURES = 17
 #: Labelled rows that a model is fitted on, at most: those with the lowest hash of doc_id.
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
-TO_POOLED, TO_IDENTITY = 0.2, 0.02
+TO_POOLED, TO_IDENTITY = 0.8, 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.3
 
