@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_qda, token_output
+from . import media_tiff, quality_qda, token_output
 
 QUERIES = {
     "op1_quality_qda": quality_qda.query,
     "op2_rans_tokens": token_output.query,
+    "op3_tiff_media": media_tiff.query,
 }
 
 ORACLES: dict[str, str] = {}
