@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +28,29 @@ from .common import stage, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-FILE_IDS = 1 << 21
-#: Units of text whose ids a worker keeps; the older half goes when they are reached.
-MEMO_UNITS = 600_000
+FILE_IDS = 1 << 22
+#: Units of text whose ids a worker keeps; it starts anew when they are reached.
+MEMO_UNITS = 1_000_000
+#: Text that is encoded at once.
+PIECE_BYTES = 24 << 20
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies have for each byte: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
     The pre-tokenizer's pattern always breaks before a single space between two other characters and
-    around a single line feed between two others. A text is cut there into units, and each distinct
-    unit is encoded once. A text with any other white space is encoded as a whole.
+    around a single line feed between two others. A text is cut there into units; a unit that begins
+    a line keeps the line feed. Each distinct unit is encoded once: a run of letters is one piece of
+    the pattern, so it goes straight to the library's model, and so does one before a single
+    punctuation mark; other units go through the whole pipeline. A text with other white space is
+    encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -46,77 +59,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        ends = self._plain("a\nb"), self._plain("a"), self._plain("b")
-        self.line_end = ends[0][len(ends[1]) : -len(ends[2])]
-        self.fits = len(self.line_end) == 1
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.line = self._raw(self._plain("\n"))
+        self.marks = {c: self._raw(self._plain("a" + c)[1:]) for c in ",.;:!?"}
+
+    @staticmethod
+    def _raw(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: str) -> bytes:
+        """A run of letters, with the space before it where there is one."""
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def _learn(self, units: list[str]) -> None:
-        if len(self.young) + len(units) > MEMO_UNITS:
-            self.old, self.young = self.young, {}
-        young, mark = self.young, self.line_end[0]
-        good = []
+        if len(self.memo) + len(units) > MEMO_UNITS:
+            self.memo.clear()
+        memo, rest = self.memo, []
         for u in units:
-            inner = u[1:] if u[:1] == " " else u
-            if not inner or inner[0].isspace() or inner[-1].isspace():
-                young[u] = None
-            else:
-                good.append(u)
-        for lo in range(0, len(good), 20_000):
-            part = good[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark)
-            if len(cuts) != len(part) - 1:
-                for u in part:
-                    young[u] = np.array(self._plain(u), np.uint32).tobytes()
+            first = u[:1] == "\n"
+            word = u[1:] if first else u
+            if not word or word[0].isspace() or word[-1].isspace():
+                self.odd.add(u)
+                memo[u] = b""
                 continue
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for u, a, b in zip(part, edges, edges[1:]):
-                young[u] = raw[4 * a + 4 : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = []
-        for text in texts:
-            units: list[str] = []
-            for k, line in enumerate(text.split("\n")):
-                first, *rest = line.split(" ")
-                if k:
-                    units.append("\n")
-                units.append(first)
-                units.extend(map(str.__add__, repeat(" "), rest))
-            cut.append(units)
-        young, old = self.young, self.old
-        young["\n"] = np.array(self.line_end, np.uint32).tobytes()
-        new = []
-        for u in set().union(*cut):
-            if u not in young:
-                if u in old:
-                    young[u] = old[u]
-                else:
-                    new.append(u)
-        if new:
-            self._learn(sorted(new))
-        young, old = self.young, self.old
+            lead, space = (self.line, "") if first else (b"", " ")
+            if word.isalpha():
+                memo[u] = lead + self._word(space + word)
+            elif word[-1] in self.marks and word[:-1].isalpha():
+                memo[u] = lead + self._word(space + word[:-1]) + self.marks[word[-1]]
+            else:
+                rest.append((u, lead, space + word))
+        if rest:
+            for (u, lead, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, _, w in rest], add_special_tokens=False)):
+                memo[u] = lead + array("I", e.ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null is empty. Units are cut and made distinct by Arrow, ids are put together by numpy."""
+        texts = pc.fill_null(texts, "")
+        led = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        cut = pc.split_pattern(led, " ")
+        coded = cut.flatten().dictionary_encode()
+        which, edges = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        edges = edges - edges[0]
+        units = coded.dictionary.to_pylist()
+        parts = list(map(self.memo.get, units))
+        if None in parts:
+            self._learn([u for u, p in zip(units, parts) if p is None])
+            memo = self.memo
+            parts = [memo[u] if p is None else p for u, p in zip(units, parts)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        each = sizes[which]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(starts[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])[edges]
+        whole = np.zeros(len(which), bool)
+        if self.odd:
+            whole = np.fromiter((u in self.odd for u in units), bool, len(units))[which]
+            whole[edges[:-1]] = False  # what stands before a text's own first unit
+        odd = np.concatenate([[0], np.cumsum(whole)])[edges]
         out = []
-        for text, units in zip(texts, cut):
-            try:
-                parts = [young[u] for u in units]
-            except KeyError:
-                parts = [young[u] if u in young else old[u] for u in units]
-            if not text:
-                out.append(b"")
-            elif self.fits and None not in parts:
-                out.append(b"".join(parts))
+        for k in range(len(texts)):
+            if odd[k + 1] > odd[k]:
+                out.append(np.array(self._plain(texts[k].as_py()), "<u4"))
             else:
-                out.append(np.array(self._plain(text), np.uint32).tobytes())
+                out.append(ids[ends[k] + 1 : ends[k + 1]])
         return out
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of the column each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -126,11 +154,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pack(raw: bytes) -> bytes:
-    """Staged ids: their byte planes, compressed."""
+def pack(ids: np.ndarray) -> bytes:
+    """Staged ids: two or four bytes each, compressed."""
     import zstandard
 
-    ids = np.frombuffer(raw, "<u4")
     planes = ids.astype("<u2") if not len(ids) or ids.max() < 65536 else ids
     wide = planes.dtype.itemsize
     return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -146,12 +173,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and the packed ids of each text with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())]
+            for part in pieces(batch, "text", PIECE_BYTES):
+                ids = [np.concatenate([x, end]) for x in enc.encode(part.column("text"))]
+                columns = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary")
