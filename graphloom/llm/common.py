@@ -61,3 +61,14 @@ def digest(name: str = "text") -> Column:
 
 def sum_long(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("long")
+
+
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs as one column `row_box`, whatever its columns are called, beside those that are needed."""
+    inner = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*inner).alias("row_box"), *needed)
+
+
+def unboxed(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of boxed rows again, some of them replaced."""
+    return df.select(*(replaced.get(c, F.col(f"row_box.c{k}")).alias(c) for k, c in enumerate(columns)))

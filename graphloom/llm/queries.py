@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import media_tiff, quality_qda, token_output
+from . import line_frequency, media_tiff, mixing, quality_qda, secret_scan, token_output, url_filter
 
 QUERIES = {
     "op1_quality_qda": quality_qda.query,
     "op2_rans_tokens": token_output.query,
     "op3_tiff_media": media_tiff.query,
+    "op4_url_ngrams": url_filter.query,
+    "op5_secret_battery": secret_scan.query,
+    "op7_mixing": mixing.query,
+    "op8_line_frequency": line_frequency.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_ngrams": url_filter.oracle(),
+    "op7_mixing": mixing.ORACLE,
+    "op8_line_frequency": line_frequency.ORACLE,
+}
