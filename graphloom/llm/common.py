@@ -63,9 +63,9 @@ def sum_long(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("long")
 
 
-def boxed(docs: DataFrame, *needed: str) -> DataFrame:
-    """docs as one column `row_box`, whatever its columns are called, beside those that are needed."""
-    inner = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+def boxed(docs: DataFrame, *needed: str | Column, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs as one column `row_box`, whatever its columns are called, beside those that are needed; `without`: columns that come anew."""
+    inner = [(F.lit(None).cast(docs.schema[c].dataType) if c in without else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(docs.columns)]
     return docs.select(F.struct(*inner).alias("row_box"), *needed)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_frequency, media_tiff, mixing, quality_qda, secret_scan, token_output, url_filter
+from . import line_chunks, line_frequency, media_tiff, mixing, quality_qda, secret_scan, token_output, url_filter
 
 QUERIES = {
     "op1_quality_qda": quality_qda.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_tiff_media": media_tiff.query,
     "op4_url_ngrams": url_filter.query,
     "op5_secret_battery": secret_scan.query,
+    "op6_line_chunks": line_chunks.query,
     "op7_mixing": mixing.query,
     "op8_line_frequency": line_frequency.query,
 }
