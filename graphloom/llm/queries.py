@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_chunks, line_frequency, media_tiff, mixing, quality_qda, secret_scan, token_output, url_filter
+from . import line_chunks, line_frequency, media_tiff, mixing, near_duplicates, quality_qda, secret_scan, sentencepiece_codec, token_output, url_filter
 
 QUERIES = {
     "op1_quality_qda": quality_qda.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_line_chunks": line_chunks.query,
     "op7_mixing": mixing.query,
     "op8_line_frequency": line_frequency.query,
+    "op9_prob_minhash": near_duplicates.query,
+    "op10_sentencepiece": sentencepiece_codec.query,
 }
 
 ORACLES: dict[str, str] = {
