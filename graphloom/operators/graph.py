@@ -144,11 +144,9 @@ class FrameGraph(Graph):
 class LiftedGraph(Graph):
     """maps: predicate -> list of (table, subject, object); subject a string column, object a term column of the table."""
 
-    #: A subject is a row by its key, so it has one value for a predicate at most, and each triple is there once.
-    functional = True
-
-    def __init__(self, spark: SparkSession, maps: dict[str, list[tuple[DataFrame, Column, Column]]], types: dict[str, tuple[DataFrame, Column]]):
-        self.spark, self.maps, self.types = spark, maps, types
+    def __init__(self, spark: SparkSession, maps: dict[str, list[tuple[DataFrame, Column, Column]]], types: dict[str, tuple[DataFrame, Column]], functional: bool = True):
+        """functional: keys are unique, so a subject has one value for a predicate at most and each triple is there once; otherwise triples are made a set."""
+        self.spark, self.maps, self.types, self.functional = spark, maps, types, functional
 
     def pattern(self, s=None, p=None, o=None) -> DataFrame:
         parts = []
@@ -167,7 +165,7 @@ class LiftedGraph(Graph):
             out = out.where(F.col("s") == s)
         if o is not None and p != TYPE:
             out = out.where(is_term(F.col("o"), o))
-        return out
+        return out if self.functional else out.distinct()
 
     def triples(self) -> DataFrame:
         """Each table is read once: its columns become one array that is exploded."""
@@ -181,7 +179,8 @@ class LiftedGraph(Graph):
         for df, subject, pairs in by_table.values():
             arcs = F.array(*(F.struct(F.lit(n).alias("p"), o.alias("o")) for n, o in pairs))
             parts.append(df.select(subject.alias("s"), F.explode(arcs).alias("a")).select("s", "a.p", "a.o").where(F.col("o.lex").isNotNull()))
-        return reduce(DataFrame.unionByName, parts)
+        out = reduce(DataFrame.unionByName, parts)
+        return out if self.functional else out.distinct()
 
 
 class FederatedGraph(Graph):

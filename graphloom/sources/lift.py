@@ -22,6 +22,8 @@ KEYS = {
 REFERENCES = {
     "n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "nation", "o_custkey": "customer", "l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier",
 }
+#: Tables whose key may name several rows: their triples are made a set.
+NOT_UNIQUE = {"lineitem"}
 LANGUAGES = {("documents", "text"): "lang"}
 DATATYPES = {"int": "integer", "bigint": "integer", "smallint": "integer", "double": "double", "float": "double", "string": "string", "boolean": "boolean", "timestamp": "dateTime", "date": "date"}
 
@@ -54,4 +56,4 @@ def from_tables(spark: SparkSession, sf_dir: str, tables=("region", "nation", "c
         for column, kind in df.dtypes:
             if kind.replace("timestamp_ntz", "timestamp") in DATATYPES:
                 maps.setdefault(EX + column, []).append((df, subject, value(name, column, kind.replace("timestamp_ntz", "timestamp"))))
-    return LiftedGraph(spark, maps, types)
+    return LiftedGraph(spark, maps, types, functional=not NOT_UNIQUE & set(tables))
