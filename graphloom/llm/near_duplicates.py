@@ -3,12 +3,14 @@
 1. Equal texts are one node each (a row for each text, by digest); copies never meet in pairs.
 2. Each text gets BANDS band hashes of ROWS components (shingles of five words, weighted by how often
    they occur). A pair of similarity 0.8 shares no band with probability 3e-6.
-3. In each bucket every member is compared with the bucket's lowest node: a star, so a bucket of n
-   texts gives n - 1 pairs. Links of 0.8 or more give components.
+3. In each bucket the members are compared with a centre: a star, so a bucket of n texts gives n - 1
+   pairs. The first centre is the node with the most partners, the next is drawn by a hash and is
+   compared with members of other components alone. Links of 0.8 or more give components.
 4. Buckets whose members are still in several components: in small ones (MOST_PAIRED members) members
-   of different components are compared; larger ones are cut again by new bands (DEEP_ROWS wide, so
-   texts that merely share a passage part) and go through 3 and 4; at the last level all pairs of
-   different components that are left in a bucket are compared, so no link of a shared bucket is lost.
+   of different components are compared. The members of larger ones are put into new buckets by their
+   rarest shingles (prefix filter), in which every similar pair of them meets again, while families
+   that only share what is common mostly don't; pairs of different components that can still be
+   similar by what is left of their sets are compared. So no link between texts of a shared bucket is lost.
 5. A class is a component; it is named by its lowest doc_id.
 
 Similarity is the Jaccard similarity of the sets of five-word shingles (a text of fewer words is one
@@ -22,6 +24,7 @@ gives no rows; other columns are not read by `classes`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,9 @@ from .prob_minhash import bands, mix64, signatures
 from .token_output import pieces
 
 ROWS, BANDS = 5, 32
-DEEP_ROWS, DEEP_BANDS, LEVELS = 8, 64, 3
-MOST_PAIRED = 32
+#: Stars in each bucket, and the members of a bucket whose pairs are then compared.
+STARS, MOST_PAIRED = 2, 8
+SKETCH = 1 << 18
 PIECE_BYTES = 8 << 20
 
 
@@ -153,63 +157,122 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("label"))
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
+def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, node, size, rest: each member under the rarest shingles of its set.
 
-def _rebanded(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """bucket, node: each bucket of members cut by new bands."""
+    Of two sets of similarity t or more, each has one of the other's n - ceil(t n) + 1 first elements, in any common order,
+    among its own first: so all similar pairs of members share a bucket. Rare shingles come first, by
+    counts in SKETCH cells, which reach the driver and the workers whatever the number of shingles.
+    rest: how many elements of the set are left from this one on.
+    """
+    own = members.distinct().join(sets, "node").select("node", "set")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            buckets, nodes = [], []
-            for node, olds, raw in zip(batch.column("node").to_pylist(), batch.column("olds").to_pylist(), batch.column("set")):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                found = bands(signatures(own, np.ones(len(own)), np.array([0, len(own)]), DEEP_ROWS * DEEP_BANDS, level), DEEP_ROWS, level)[0]
-                with np.errstate(over="ignore"):
-                    for old in olds:
-                        buckets.append(mix64(found.view(np.uint64) ^ np.uint64(old & (2**64 - 1))).view(np.int64))
-                        nodes.append(np.full(len(found), node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(np.concatenate(nodes) if nodes else [], pa.int64())], ["bucket", "node"])
+            for raw in batch.column("set"):
+                total += np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["cell", "n"])
 
-    olds = members.groupBy("node").agg(F.collect_set("bucket").alias("olds"))
-    return olds.join(sets, "node").select("node", "olds", "set").mapInArrow(run, "bucket long, node long")
+    cells = np.zeros(SKETCH, np.int64)
+    for r in own.select("set").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[r["cell"]] = r["n"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("set")):
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                size = len(shingles)
+                n = size - math.ceil(MIN_SIMILARITY * size - 1e-9) + 1
+                order = np.lexsort((shingles, cells[(shingles % np.uint64(SKETCH)).astype(np.int64)]))[:n]
+                for k, x in enumerate((shingles[order].view(np.int64), np.full(n, node), np.full(n, size), size - np.arange(n))):
+                    rows[k].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in rows], ["bucket", "node", "size", "rest"])
+
+    return own.mapInArrow(first, "bucket long, node long, size long, rest long")
+
+
+def _last_pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """a, b: pairs of different components in buckets of prefixes that can still be similar.
+
+    In the bucket of the first element that two sets share, their overlap is at most what is left of
+    either. In each bucket only members outside its largest component are held against the others.
+    """
+    marked = stage(_labelled(buckets, labels), "prefix-buckets")
+    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.label").alias("main"))
+    open_ = marked.join(main, "bucket")
+    x = open_.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    y = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    enough = F.least("ra", "rb") * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6
+    return x.join(y, "bucket").where((F.col("la") != F.col("lb")) & enough).select(*_ordered("a", "b"))
+
+
+def _with_degrees(buckets: DataFrame) -> DataFrame:
+    """Buckets of two members or more; degree: how many members a node's buckets have in all.
+
+    The text that the others are copies of shares more buckets with each of them than they do with
+    one another, so it has the highest degree.
+    """
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    held = stage(buckets.join(full, "bucket"), "buckets")
+    degrees = held.groupBy("node").agg(F.sum("n").alias("degree"))
+    return stage(held.select("bucket", "node").join(degrees, "node"), "buckets")
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _full(buckets: DataFrame) -> DataFrame:
-    """Buckets of two members or more, with their lowest node."""
-    low = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
-    return buckets.join(low, "bucket")
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: verified links, whose components are those of all similar pairs that share a bucket."""
-    buckets = stage(_full(nodes.select("node", F.explode("bands").alias("bucket"))), "buckets")
+    """node, label: the components of all similar pairs that share a bucket; texts without a link are left out."""
+    buckets = _with_degrees(nodes.select("node", F.explode("bands").alias("bucket")))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "digest"), "node")
     sets = stage(sets_of(docs, wanted), "shingle-sets", codec="none")
     links: DataFrame | None = None
-    for level in range(1, LEVELS + 1):
-        star = stage(verified(buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), sets), "links")
-        links = star if links is None else links.union(star)
-        marked = _labelled(buckets.drop("low"), components(links))
-        open_ = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket", "n")
-        rest = stage(marked.join(open_, "bucket"), "open-buckets")
-        small = rest if level == LEVELS else rest.where(F.col("n") <= MOST_PAIRED)
-        x, y = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-        links = links.union(stage(verified(pairs, sets), "links"))
-        large = rest.where(F.col("n") > MOST_PAIRED)
-        if level == LEVELS or large.isEmpty():
-            return links
-        buckets = stage(_full(_rebanded(large.select("bucket", "node"), sets, level)), "buckets")
-    return links
+    labels: DataFrame | None = None
+    for turn in range(STARS):
+        # the first star's centre is the node of the highest degree, the others' are drawn by a hash
+        centre = F.struct(F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn)), "node", "label")
+        marked = _labelled(buckets, labels)
+        open_ = marked.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max(centre).alias("c")).where("l < m")
+        rays = marked.join(open_.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of")), "bucket").where("label <> of")
+        links, labels = _more(links, labels, verified(rays.select(*_ordered("node", "centre")), sets))
+    marked = _labelled(buckets, labels)
+    open_ = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket", "n")
+    rest = stage(marked.join(open_, "bucket"), "open-buckets")
+    small = rest.where(F.col("n") <= MOST_PAIRED)
+    x, y = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
+    links, labels = _more(links, labels, verified(pairs, sets))
+    large = rest.where(F.col("n") > MOST_PAIRED).select("node")
+    if not large.isEmpty():
+        links, labels = _more(links, labels, verified(_last_pairs(_prefixes(large, sets), labels), sets))
+    return labels
+
+
+def _more(links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with those found, and the components of all."""
+    held = stage(found, "links")
+    if links is not None and held.isEmpty():
+        return links, labels
+    links = held if links is None else links.union(held)
+    return links, components(links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, class_size, kept of each row; one row of each class is kept."""
     rows = stage(banded(docs).withColumn("row", F.monotonically_increasing_id()), "bands")
     nodes = stage(nodes_of(rows), "nodes")
-    labels = components(link(docs, nodes))
+    labels = link(docs, nodes)
     named = nodes.select("node", "digest").join(labels, "node", "left").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("label"))
     # counted for each text first, then for each class
     per_text = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row")).alias("first"))

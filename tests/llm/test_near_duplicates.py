@@ -78,6 +78,7 @@ def test_against_brute_force(spark):
 
 def test_large_buckets_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(nd, "MOST_PAIRED", 3)
+    monkeypatch.setattr(nd, "STARS", 1)
     found = rows()
     df = spark.createDataFrame(found, "doc_id long, text string")
     got = defaultdict(list)
