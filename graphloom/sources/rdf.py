@@ -147,8 +147,9 @@ def parse_jsonld(text: str, scope: str = "") -> list[tuple[str, str, Term]]:
         if name.startswith(("@", "_:")):
             return name
         known = ctx.get(name)
+        known = known.get("@id") if isinstance(known, dict) else known
         if vocab and known is not None:
-            return expand({k: v for k, v in ctx.items() if k != name}, known["@id"] if isinstance(known, dict) else known)
+            return expand({k: v for k, v in ctx.items() if k != name}, known)
         head, colon, tail = name.partition(":")
         if colon and not tail.startswith("//") and head in ctx:
             return expand({k: v for k, v in ctx.items() if k != head}, ctx[head]["@id"] if isinstance(ctx[head], dict) else ctx[head]) + tail
