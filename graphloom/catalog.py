@@ -471,7 +471,7 @@ def _(spark, d):
 # statistics, comparison, generation
 
 
-@register("graph_stats", "SELECT (SELECT count(*) FROM nation) * 4 + (SELECT count(*) FROM region) * 3 AS triples, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS subjects, 6 AS predicates, (SELECT count(DISTINCT x) FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region)) + (SELECT count(DISTINCT x) FROM (SELECT n_nationkey AS x FROM nation UNION SELECT r_regionkey FROM region)) + (SELECT count(DISTINCT n_regionkey) FROM nation) + 2 AS objects")
+@register("graph_stats", "SELECT (SELECT count(*) FROM nation) * 4 + (SELECT count(*) FROM region) * 3 AS triples, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS subjects, 6::BIGINT AS predicates, (SELECT count(DISTINCT x) FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region)) + (SELECT count(DISTINCT x) FROM (SELECT n_nationkey AS x FROM nation UNION SELECT r_regionkey FROM region)) + (SELECT count(DISTINCT n_regionkey) FROM nation) + 2 AS objects")
 def _(spark, d):
     return stats.graph_stats(from_tables(spark, d, ("nation", "region")))
 
@@ -486,12 +486,12 @@ def _(spark, d):
     return stats.property_partition(from_tables(spark, d, ("orders",)))
 
 
-@register("usage_counts", f"SELECT {NATION} AS node, 4 AS as_subject, 0 AS as_object FROM nation UNION ALL SELECT {NATION_REGION}, 0, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT '{EX}Nation', 0, count(*) FROM nation")
+@register("usage_counts", f"SELECT {NATION} AS node, 4::BIGINT AS as_subject, 0::BIGINT AS as_object FROM nation UNION ALL SELECT {NATION_REGION}, 0, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT '{EX}Nation', 0, count(*) FROM nation")
 def _(spark, d):
     return stats.usage(from_tables(spark, d, ("nation",)))
 
 
-@register("conformance_metrics", "SELECT n * 5 AS triples, n * 2 AS valid, n * 2 * 100.0::DOUBLE / (n * 5) AS validity, 1 AS lost, 1 * 100.0::DOUBLE / 3 AS translation_loss FROM (SELECT count(*) AS n FROM customer)")
+@register("conformance_metrics", "SELECT n * 5 AS triples, n * 2 AS valid, n * 2 * 100.0::DOUBLE / (n * 5) AS validity, 1::BIGINT AS lost, 1 * 100.0::DOUBLE / 3 AS translation_loss FROM (SELECT count(*) AS n FROM customer)")
 def _(spark, d):
     schema = spark.createDataFrame([(EX + "Customer", EX + "c_name", 1), (EX + "Customer", EX + "c_acctbal", None), (EX + "Customer", EX + "c_comment", 1)], "class string, property string, most int")
     return stats.conformance_metrics(from_tables(spark, d, ("customer",)), schema)
@@ -503,7 +503,7 @@ def _(spark, d):
     return stats.compare_schemas(df("a", "b", "b"), df("b", "c"))
 
 
-@register("generate_balanced", f"SELECT '{EX}Person-' || (i + 1) AS s, p, CASE WHEN p = 'type' THEN 1 WHEN p = 'name' THEN 1 ELSE i % 4 END AS n FROM generate_series(0, 499) g(i), (VALUES ('type'), ('name'), ('mail')) v(p) WHERE NOT (p = 'mail' AND i % 4 = 0) UNION ALL SELECT '{EX}City-' || (i + 1), 'type', 1 FROM generate_series(0, 499) g(i)")
+@register("generate_balanced", f"SELECT '{EX}Person-' || (i + 1) AS s, p, CASE WHEN p = 'type' THEN 1 WHEN p = 'name' THEN 1 ELSE (i % 4)::INTEGER END AS n FROM generate_series(0, 499) g(i), (VALUES ('type'), ('name'), ('mail')) v(p) WHERE NOT (p = 'mail' AND i % 4 = 0) UNION ALL SELECT '{EX}City-' || (i + 1), 'type', 1 FROM generate_series(0, 499) g(i)")
 def _(spark, d):
     person = generate.Shape(EX + "Person", (generate.Property(EX + "name", generator="person"), generate.Property(EX + "mail", low=0, high=3, pattern="??##@ex.org")))
     made = generate.generate(spark, [person, generate.Shape(EX + "City")], 1000)
