@@ -109,14 +109,14 @@ def pairs(graph: Graph, path, seeds: DataFrame | None = None, strict: bool = Fal
     if isinstance(path, str):
         path = Pred(path)
     if isinstance(path, Pred):
-        return graph.pattern(p=path.iri).select(F.col("s").alias("start"), F.col("o").alias("end")).distinct()
+        return _set(graph, graph.pattern(p=path.iri).select(F.col("s").alias("start"), F.col("o").alias("end")))
     if isinstance(path, Inv):
         if not isinstance(path.path, Pred):
             if strict:
                 raise PathError("an inverse path must hold a predicate")
             return pairs(graph, inverse(path.path), seeds)
         t = graph.pattern(p=path.path.iri).where(F.col("o.k") != "literal")
-        return t.select(F.col("o.lex").alias("start"), resource(F.col("s")).alias("end")).distinct()
+        return _set(graph, t.select(F.col("o.lex").alias("start"), resource(F.col("s")).alias("end")))
     if isinstance(path, NotIn):
         parts = []
         if path.forward or not path.backward:
@@ -163,6 +163,29 @@ def pairs(graph: Graph, path, seeds: DataFrame | None = None, strict: bool = Fal
     raise PathError(f"no such path: {path!r}")
 
 
+def _set(graph: Graph, df: DataFrame) -> DataFrame:
+    """Without duplicates; a graph whose patterns have none needs no shuffle for that."""
+    return df if getattr(graph, "functional", False) else df.distinct()
+
+
+def lists(graph: Graph, heads: DataFrame) -> DataFrame:
+    """head, position, value of the RDF lists that begin at the nodes; a list that loops ends where it meets itself."""
+    from ..functions.terms import RDF
+
+    shared_checkpoints(heads)
+    first = graph.pattern(p=RDF + "first").select(F.col("s").alias("at"), F.col("o").alias("value"))
+    rest = graph.pattern(p=RDF + "rest").where(F.col("o.k") != "literal").select(F.col("s").alias("at"), F.col("o.lex").alias("next"))
+    front = heads.select(F.col("node").alias("head"), F.col("node").alias("at")).distinct().checkpoint()
+    seen, found, position = front, None, 0
+    while not front.isEmpty():
+        here = front.join(first, "at").select("head", F.lit(position).alias("position"), "value")
+        found = here if found is None else found.unionByName(here)
+        front = front.join(rest, "at").select("head", F.col("next").alias("at")).where(F.col("at") != RDF + "nil").join(seen, ["head", "at"], "left_anti").checkpoint()
+        seen = seen.unionByName(front).checkpoint()
+        position += 1
+    return found
+
+
 def _identity(graph: Graph, seeds: DataFrame | None) -> DataFrame:
     nodes = nodes_of(graph) if seeds is None else seeds.select("start").distinct()
     return nodes.select("start", resource(F.col("start")).alias("end"))

@@ -164,7 +164,7 @@ class Validator:
             raise ShaclError(f"no shape {shape_id}")
         return self.schema.shapes[shape_id]
 
-    def _rows(self, shape: Shape, df: DataFrame, component, value: Column | None = None, path: Column | None = None) -> DataFrame:
+    def _rows(self, shape: Shape, df: DataFrame, component, value: Column | None = None, path: Column | None = None, message: Column | None = None) -> DataFrame:
         """Violations from (fk, ...)."""
         text = dict(shape.messages).get("", next((m for _, m in shape.messages), ""))
         own = F.lit(text_of(shape.path) if shape.path is not None else None)
@@ -175,7 +175,7 @@ class Validator:
             F.lit(shape.id).alias("source_shape"),
             (own if path is None else path).cast("string").alias("path"),
             (F.lit(None) if value is None else value).cast("string").alias("value"),
-            F.lit(text).alias("message"),
+            (F.lit(text) if message is None else F.coalesce(message, F.lit(text))).alias("message"),
         )
 
     def check(self, shape: Shape, focus: DataFrame) -> DataFrame | None:
@@ -324,7 +324,7 @@ class Validator:
         hit = rows.join(focus.select("fk"), "fk", "left_semi")
         value = F.col("value.lex") if "value" in rows.columns else F.col("fk")
         path = F.concat(F.lit("<"), F.col("path.lex"), F.lit(">")) if "path" in rows.columns else None
-        return self._rows(shape, hit, "sparql", value, path)
+        return self._rows(shape, hit, "sparql", value, path, F.col("message.lex") if "message" in rows.columns else None)
 
     def validate(self, only: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
         """All violations. only: some shapes; nodes (node): focus nodes to look at, for revalidation."""

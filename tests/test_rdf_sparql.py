@@ -175,6 +175,22 @@ def test_shacl_negative_cycle_and_reifier(spark):
     assert [(r.focus[-1], r.component) for r in shacl.validate(g, schema).collect()] == [("c", "reificationRequired")]
 
 
+def test_lists(spark):
+    from graphloom.operators.paths import lists
+
+    g = rdf.from_text(spark, P + ":a :p ( 1 2 :z ) . :b :p _:l . _:l rdf:first 5 ; rdf:rest _:l .")
+    heads = g.pattern(p="http://e/p").select(F.col("o.lex").alias("node"))
+    got = sorted((r.position, r.value.lex) for r in lists(g, heads).collect())
+    assert got == [(0, "1"), (0, "5"), (1, "2"), (2, "http://e/z")]
+
+
+def test_sparql_constraint_overrides(spark):
+    g = rdf.from_text(spark, P + ":a :age 5 . :b :age 50 .")
+    text = "SELECT $this (?x AS ?value) ('too old' AS ?message) WHERE { $this $PATH ?x FILTER (?x > 10) }"
+    schema = shacl.Schema.of(shacl.Shape("urn:s", Pred("http://e/age"), (("subjectsOf", "http://e/age"),), (shacl.Constraint("sparql", (text,)),)))
+    assert [(r.focus[-1], r.value, r.message) for r in shacl.validate(g, schema).collect()] == [("b", "50", "too old")]
+
+
 def test_ill_typed_literals(spark):
     from graphloom.functions.terms import ill_typed, term
 
