@@ -183,8 +183,8 @@ def _property(target: str, path, *constraints, mode="native", tables=None, colum
     return run
 
 
-QUERIES["shacl_min_count"] = _property("customer", Inv(p("o_custkey")), C("minCount", (1,)), tables=("customer", "orders"))
-ORACLES["shacl_min_count"] = f"SELECT {CUSTOMER} AS focus, 'minCount' AS component FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+QUERIES["shacl_min_count"] = _property("customer", Inv(p("o_custkey")), C("minCount", (6,)), tables=("customer", "orders"))
+ORACLES["shacl_min_count"] = f"SELECT {CUSTOMER} AS focus, 'minCount' AS component FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 6"
 QUERIES["shacl_max_count"] = _property("customer", Inv(p("o_custkey")), C("maxCount", (12,)), tables=("customer", "orders"))
 ORACLES["shacl_max_count"] = f"SELECT {ORDER_CUSTOMER} AS focus, 'maxCount' AS component FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey HAVING count(*) > 12"
 QUERIES["shacl_datatype"] = _property("orders", p("o_totalprice"), C("datatype", (INT,)))
@@ -350,7 +350,7 @@ sparql_query("sparql_optional", "SELECT ?c ?o WHERE { ?c a :Customer OPTIONAL {
 sparql_query("sparql_union", "SELECT ?x ?n WHERE { { ?x :c_name ?n } UNION { ?x :s_name ?n } }", ("customer", "supplier"), f"SELECT {CUSTOMER} AS x, c_name AS n FROM customer UNION ALL SELECT {SUPPLIER}, s_name FROM supplier")
 sparql_query("sparql_minus", "SELECT ?c WHERE { ?c a :Customer MINUS { ?o :o_custkey ?c ; :o_orderstatus 'P' } }", ("customer", "orders"), f"SELECT {CUSTOMER} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 sparql_query("sparql_exists", "SELECT ?c WHERE { ?c a :Customer FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER (?t > 250000) } }", ("customer", "orders"), f"SELECT {CUSTOMER} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
-sparql_query("sparql_not_exists", "SELECT ?c WHERE { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c } }", ("customer", "orders"), f"SELECT {CUSTOMER} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sparql_query("sparql_not_exists", "SELECT ?c WHERE { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER (?t > 400000) } }", ("customer", "orders"), f"SELECT {CUSTOMER} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 sparql_query("sparql_group", "SELECT ?n (COUNT(?o) AS ?k) (MAX(?t) AS ?top) (COUNT(DISTINCT ?s) AS ?states) WHERE { ?o :o_custkey ?c ; :o_totalprice ?t ; :o_orderstatus ?s . ?c :c_nationkey/:n_name ?n } GROUP BY ?n", ("orders", "customer", "nation"), "SELECT n_name AS n, count(*) AS k, max(o_totalprice) AS top, count(DISTINCT o_orderstatus) AS states FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", k="bigint", top="double", states="bigint")
 sparql_query("sparql_having", "SELECT ?p (COUNT(*) AS ?k) WHERE { ?l :l_partkey ?p } GROUP BY ?p HAVING (COUNT(*) > 40)", ("lineitem",), f"SELECT {key('part', 'l_partkey')} AS p, count(*) AS k FROM {lines('l_partkey')} GROUP BY l_partkey HAVING count(*) > 40", k="bigint")
 sparql_query("sparql_sum", "SELECT ?f (SUM(?n) AS ?lines) WHERE { ?l :l_returnflag ?f ; :l_linenumber ?n } GROUP BY ?f", ("lineitem",), f"SELECT l_returnflag AS f, sum(l_linenumber)::BIGINT AS lines FROM {lines('l_returnflag')} GROUP BY l_returnflag", lines="bigint")
