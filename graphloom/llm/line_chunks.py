@@ -145,10 +145,12 @@ def _repeats(docs: DataFrame) -> DataFrame:
     seen = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "number")).alias("first"))
     repeated = stage(seen.where("n > 1").select(F.col("h").alias("rh"), F.col("first.doc_id").alias("rid"), F.col("first.digest").alias("rdigest"), F.col("first.number").alias("rnumber")), "repeated")
     firsts = repeated.select(F.col("rid").alias("doc_id"), F.col("rdigest").alias("digest"), F.col("rnumber").alias("number"), F.col("rh").alias("h"))
-    texts = stage(first_texts(docs, firsts), "first-texts")
+    texts = first_texts(docs, firsts).withColumnRenamed("h", "th")
+    # one table by hash, so that a single join meets the chunks and its hot hashes can be split
+    known = stage(repeated.join(texts, F.col("rh") == F.col("th")).drop("th"), "first-texts")
     own = F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")) & (F.col("number") == F.col("rnumber"))
-    later = held.join(repeated, F.col("h") == F.col("rh")).where(~own).select("doc_id", "digest", "number", "h")
-    return _lists(later.join(texts.withColumnRenamed("h", "th"), F.col("h") == F.col("th")), F.struct("number", "chunk"))
+    later = held.join(known, F.col("h") == F.col("rh")).where(~own).select("doc_id", "digest", "number", "chunk")
+    return _lists(later, F.struct("number", "chunk"))
 
 
 def _deduped(docs: DataFrame, keep_rows: bool) -> DataFrame:
