@@ -42,7 +42,7 @@ ROWS, BANDS = 5, 32
 #: Stars in each bucket, and the members of a bucket whose pairs are then compared.
 STARS, MOST_PAIRED = 2, 8
 SKETCH = 1 << 18
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,8 +38,8 @@ MARK = "▁"
 # Fixed values of the model format: the kinds of pieces, and what an unknown character costs below the lowest score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_COST = 10.0
-MEMO_UNITS = 1_000_000
-PIECE_BYTES = 16 << 20
+MEMO_UNITS = 200_000
+PIECE_BYTES = 4 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
