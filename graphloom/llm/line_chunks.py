@@ -1,17 +1,24 @@
-"""Operator 6, line dedup: content-defined chunks of lines, removed where they repeat in the corpus.
-
-A rolling hash over the last WINDOW line hashes sets a boundary, so the same passage is cut alike
-wherever it stands. A chunk of two lines or more counts, and so does a line of LONG_WORDS words or
-more, which is a chunk of its own: passages often stand on one line. The first occurrence (lowest
-doc_id, then position) stays; the others go once their bytes were found equal to the first's.
-
-Steps: the chunks' hashes (no text) are staged and counted; the first occurrences' texts are taken
-out for repeated hashes alone; each document gets the texts that its chunks should equal, compares
-and cuts. Hot chunks are counted with partial aggregation; the joins on a chunk's hash and on a
-document are plain equi-joins that adaptive execution can split.
+"""Operator 6, line dedup: runs of lines, removed where they repeat in the corpus.
+
+Two kinds of runs are compared. Content-defined chunks: a rolling hash over the last WINDOW line
+hashes sets a boundary, so the same passage is cut alike wherever it stands; a chunk of two lines or
+more counts, however few words it has. Least runs: from each line on, and up to each line, the
+shortest run of LONG_WORDS words or more. Any repeated run of lines with that many words is the union
+of the least runs within it, so all of its lines are found, wherever it begins and ends.
+The first occurrence (lowest doc_id, then position) stays; the others go once their bytes were found
+equal to the first's. Where an occurrence overlaps the first one in its own text, only the lines
+after that one go.
+
+Steps: the runs' hashes (no text) are staged and counted; of the repeated runs in each document a few
+that cover the same lines are chosen, and the first occurrences' texts are taken out for these alone;
+each document gets the texts that its runs should equal, compares and cuts. Hot runs are counted with
+partial aggregation; the joins on a run's hash and on a document are plain equi-joins that adaptive
+execution can split.
 
 Defined results: a null text stays null; an empty one stays empty; a null doc_id comes first; rows
-alike in doc_id and text are treated alike; other columns are not read by `dedup`.
+alike in doc_id and text are treated alike; a least run begins and ends with a line that has a word,
+so blank lines beside a passage, or between lines of LONG_WORDS words, stay; other columns are not
+read by `dedup`.
 """
 
 from __future__ import annotations
@@ -61,12 +68,50 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def least_runs(words: list[int]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs of LONG_WORDS words from each line on and up to each line that has a word."""
+    at = [i for i, n in enumerate(words) if n]
+    out, end, held = set(), 0, 0
+    for i in at:
+        while end < len(at) and held < LONG_WORDS:
+            held += words[at[end]]
+            end += 1
+        if held < LONG_WORDS:
+            break
+        out.add((i, at[end - 1] + 1))
+        held -= words[i]
+    start, held = 0, 0
+    for j in at:
+        held += words[j]
+        while held - words[at[start]] >= LONG_WORDS:
+            held -= words[at[start]]
+            start += 1
+        if held >= LONG_WORDS:
+            out.add((at[start], j + 1))
+    return out
+
+
+def runs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the runs that are compared, in order."""
+    return sorted(least_runs([len(x.split()) for x in lines]).union((a, b) for a, b in chunks(lines) if b - a > 1))
+
+
+def hashed_runs(text: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(number, first line, line after the last, bytes, hash) of the runs that are compared.
+
+    The lines are those that go if the run isn't the first of its bytes: without those of the first in this text.
+    """
+    lines, ends = text.split(b"\n"), {}
+    for k, (a, b) in enumerate(runs(lines)):
+        raw = b"\n".join(lines[a:b])
+        h = hash_of(raw)
+        end = ends.setdefault(h, b)
+        yield k, (a if end == b else max(a, end)), b, raw, h
+
+
 def counted_chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, first line, line after the last, bytes) of the chunks that count."""
-    lines = text.split(b"\n")
-    for k, (a, b) in enumerate(chunks(lines)):
-        if b - a > 1 or len(lines[a].split()) >= LONG_WORDS:
-            yield k, a, b, b"\n".join(lines[a:b])
+    """hashed_runs() without hashes."""
+    return (x[:4] for x in hashed_runs(text))
 
 
 def hash_of(raw: bytes) -> bytes:
@@ -74,21 +119,23 @@ def hash_of(raw: bytes) -> bytes:
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, number and hash of each chunk that counts."""
+    """doc_id, digest, number, lines (see hashed_runs) and hash of each run that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, numbers, hashes = [], [], []
+            at, numbers, starts, ends, hashes = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
-                for number, _, _, raw in counted_chunks(text.as_py() or b""):
+                for number, a, b, _, h in hashed_runs(text.as_py() or b""):
                     at.append(k)
                     numbers.append(number)
-                    hashes.append(hash_of(raw))
+                    starts.append(a)
+                    ends.append(b)
+                    hashes.append(h)
             own = batch.select(["doc_id", "digest"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], ["doc_id", "digest", "number", "h"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int32()) for x in (numbers, starts, ends)), pa.array(hashes, pa.binary())], ["doc_id", "digest", "number", "start", "end", "h"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, digest binary, number int, h binary")
+    return plain.mapInArrow(run, "doc_id long, digest binary, number int, start int, end int, h binary")
 
 
 def _same_row(doc_id: str, digest_name: str) -> Column:
@@ -96,12 +143,12 @@ def _same_row(doc_id: str, digest_name: str) -> Column:
 
 
 def _lists(rows: DataFrame, entry: Column) -> DataFrame:
-    """for_id, for_digest, entries: a row for each document; it has as many entries as chunks at most."""
+    """for_id, for_digest, entries: a row for each document; it has as many entries as runs at most."""
     return rows.groupBy(F.col("doc_id").alias("for_id"), F.col("digest").alias("for_digest")).agg(F.collect_set(entry).alias("entries"))
 
 
 def first_texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h and the bytes of the first occurrence of each repeated chunk."""
+    """h and the bytes of the first occurrence of each run in firsts."""
     wanted = _lists(firsts, F.struct("number", "h"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("binary").alias("text"))
     joined = rows.join(wanted, _same_row("for_id", "for_digest")).select("text", "entries")
@@ -111,11 +158,12 @@ def first_texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             hashes, texts, size = [], [], 0
             for text, entries in zip(batch.column("text"), batch.column("entries")):
                 want = {e["number"]: e["h"] for e in entries.as_py()}
-                for number, _, _, raw in counted_chunks(text.as_py() or b""):
+                lines = (text.as_py() or b"").split(b"\n")
+                for number, (a, b) in enumerate(runs(lines)):
                     if number in want:
                         hashes.append(want[number])
-                        texts.append(raw)
-                        size += len(raw)
+                        texts.append(b"\n".join(lines[a:b]))
+                        size += len(texts[-1])
                 if size > _FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(texts, pa.binary())], ["h", "chunk"])
                     hashes, texts, size = [], [], 0
@@ -126,17 +174,48 @@ def first_texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _cut(text: bytes, want: dict[int, bytes]) -> tuple[bytes, int, int]:
-    """The text without the chunks whose bytes equal the wanted ones, the chunks and the lines removed."""
+    """The text without the runs whose bytes equal the wanted ones, the runs and the lines removed."""
     gone, lines = [], text.split(b"\n")
     for number, a, b, raw in counted_chunks(text):
         if want.get(number) == raw:
             gone.append((a, b))
     left, at = [], 0
-    for a, b in gone:
+    for a, b in sorted(gone):
         left += lines[at:a]
-        at = b
+        at = max(at, b)
     left += lines[at:]
-    return b"\n".join(left), len(gone), sum(b - a for a, b in gone)
+    return b"\n".join(left), len(gone), len(lines) - len(left)
+
+
+def cover(entries: list[dict]) -> list[dict]:
+    """Entries, of which no line is in more than two, that hold the same lines as all."""
+    out, reach, best = [], 0, None
+    for e in sorted(entries, key=lambda e: (e["start"], e["number"])):
+        if best is not None and e["start"] > reach:
+            out.append(best)
+            reach, best = best["end"], None
+        if e["start"] > reach:
+            reach = e["start"]
+        if e["end"] > (reach if best is None else best["end"]):
+            best = e
+    return out if best is None else [*out, best]
+
+
+def chosen_runs(later: DataFrame) -> DataFrame:
+    """doc_id, digest, number, h: of the runs in later, those that cover() takes in each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, hashes = [], [], []
+            for k, entries in enumerate(batch.column("entries")):
+                for e in cover(entries.as_py()):
+                    at.append(k)
+                    numbers.append(e["number"])
+                    hashes.append(e["h"])
+            own = batch.select(["for_id", "for_digest"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], ["doc_id", "digest", "number", "h"])
+
+    return _lists(later, F.struct("number", "start", "end", "h")).mapInArrow(run, "doc_id long, digest binary, number int, h binary")
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
@@ -144,13 +223,15 @@ def _repeats(docs: DataFrame) -> DataFrame:
     held = stage(chunk_hashes(docs), "chunks")
     seen = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "number")).alias("first"))
     repeated = stage(seen.where("n > 1").select(F.col("h").alias("rh"), F.col("first.doc_id").alias("rid"), F.col("first.digest").alias("rdigest"), F.col("first.number").alias("rnumber")), "repeated")
-    firsts = repeated.select(F.col("rid").alias("doc_id"), F.col("rdigest").alias("digest"), F.col("rnumber").alias("number"), F.col("rh").alias("h"))
-    texts = first_texts(docs, firsts).withColumnRenamed("h", "th")
-    # one table by hash, so that a single join meets the chunks and its hot hashes can be split
-    known = stage(repeated.join(texts, F.col("rh") == F.col("th")).drop("th"), "first-texts")
     own = F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")) & (F.col("number") == F.col("rnumber"))
-    later = held.join(known, F.col("h") == F.col("rh")).where(~own).select("doc_id", "digest", "number", "chunk")
-    return _lists(later, F.struct("number", "chunk"))
+    later = held.join(repeated, F.col("h") == F.col("rh")).where(~own).select("doc_id", "digest", "number", "start", "end", "h")
+    chosen = stage(chosen_runs(later), "chosen")
+    firsts = repeated.join(chosen.select("h").distinct(), F.col("rh") == F.col("h"), "left_semi")
+    firsts = firsts.select(F.col("rid").alias("doc_id"), F.col("rdigest").alias("digest"), F.col("rnumber").alias("number"), F.col("rh").alias("h"))
+    texts = stage(first_texts(docs, firsts).withColumnRenamed("h", "th"), "first-texts")
+    # one table by hash, so that a single join meets the runs and its hot hashes can be split
+    found = chosen.join(texts, F.col("h") == F.col("th")).select("doc_id", "digest", "number", "chunk")
+    return _lists(found, F.struct("number", "chunk"))
 
 
 def _deduped(docs: DataFrame, keep_rows: bool) -> DataFrame:
