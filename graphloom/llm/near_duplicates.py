@@ -1,8 +1,9 @@
-"""Operator 9, near duplicates: ProbMinHash signatures of weighted word shingles, banding, verification.
+"""Operator 9, near duplicates: ProbMinHash signatures of word shingles, banding, verification.
 
 1. Equal texts are one node each (a row for each text, by digest); copies never meet in pairs.
-2. Each text gets BANDS band hashes of ROWS components (shingles of five words, weighted by how often
-   they occur). A pair of similarity 0.8 shares no band with probability 3e-6.
+2. Each text gets BANDS band hashes of ROWS components. Each distinct shingle of five words has weight 1,
+   however often it occurs, so two texts agree in a component with the very similarity that is verified:
+   a pair of similarity 0.8 shares no band with probability 3e-6, whatever lines they repeat.
 3. In each bucket the members are compared with a centre: a star, so a bucket of n texts gives n - 1
    pairs. The first centre is the node with the most partners, the next is drawn by a hash and is
    compared with members of other components alone. Links of 0.8 or more give components.
@@ -97,8 +98,9 @@ def banded(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE_BYTES):
-                sets, counts, edges = shingle_sets(part.column("text"))
-                found = bands(signatures(sets, counts.astype(np.float64), edges, ROWS * BANDS), ROWS)
+                sets, _, edges = shingle_sets(part.column("text"))
+                # equal weights: the probability Jaccard similarity is the Jaccard similarity of the sets
+                found = bands(signatures(sets, np.ones(len(sets)), edges, ROWS * BANDS), ROWS)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), _lists(found, np.diff(edges) > 0)], ["doc_id", "digest", "bands"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("string").alias("text"))

@@ -117,3 +117,20 @@ def test_shingles_are_those_of_the_texts():
     for t, a, b in zip(texts, edges, edges[1:]):
         assert b - a == len(shingles(t))
     assert len(set(sets.tolist())) == len(set().union(*(shingles(t) for t in texts)))
+
+
+def test_near_copies_with_repeated_lines(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
+    found = []
+    for k in range(8):
+        # pairs, so that no third copy links them; the last has the same sets, but other counts
+        for few, many in ((0, 50), (0, 100), (0, 200), (10, 200)):
+            base, line = text(400), text(8)
+            found += ["\n".join([base] + [line] * n) for n in (few, many)]
+    found = list(enumerate(found))
+    got = defaultdict(list)
+    for r in nd.classes(spark.createDataFrame(found, "doc_id long, text string").repartition(5)).collect():
+        got[r.class_id].append(r.doc_id)
+    assert sorted(tuple(sorted(v)) for v in got.values()) == brute(found)
+    assert len(got) == 32
