@@ -2,7 +2,10 @@
 
 Base spans come from three patterns. Further candidates are runs of CANDIDATE characters that no base
 span touches and that look like an encoding (digits mixed with letters); the encoding is the smallest
-alphabet that holds the run. Under the hypothesis that its characters are drawn evenly and independently from that
+alphabet that holds the run. '=' only ends a run, as padding, so the value of NAME=value is a run of its own.
+A run that no alphabet holds is cut: at the characters that base64 lacks, and at those that
+base64url lacks; the parts of LEAST characters or more
+are candidates, so two of one run may overlap. Under the hypothesis that its characters are drawn evenly and independently from that
 alphabet, three p-values are computed: chi-squared evenness, runs above and below the middle, and
 serial correlation; their Bonferroni minimum is the candidate's p-value. Within each length stratum
 the Benjamini-Hochberg step-up over all candidates of the corpus rejects what isn't random; what is
@@ -35,7 +38,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 20
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST)
+#: The parts of a run that joins '_' or '-' with '+' or '/'.
+PARTS = (re.compile(r"[A-Za-z0-9+/]{%d,}=*" % LEAST), re.compile(r"[A-Za-z0-9_-]{%d,}=*" % LEAST))
 #: Encodings from the smallest alphabet up; each needs a digit, and a letter where it has letters.
 ALPHABETS = (
     ("hex", "0123456789abcdef"), ("hexupper", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -117,15 +122,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: all of it, or its parts of both kinds where it mixes their characters."""
+    if not (("_" in run or "-" in run) and ("+" in run or "/" in run)):
+        return [(0, len(run))]
+    return sorted({m.span() for p in PARTS for m in p.finditer(run)})
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, grid point) of the runs that are tested."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in base) or (known := infer(m[0])) is None:
-            continue
-        p = min(1.0, 3 * min(battery(*known)))
-        out.append((a, b, stratum_of(len(known[0])), grid_of(p)))
+        for a, b in parts(m[0]):
+            known = infer(m[0][a:b])
+            a, b = m.start() + a, m.start() + b
+            if known is None or any(s < b and a < e for s, _, e in base):
+                continue
+            p = min(1.0, 3 * min(battery(*known)))
+            out.append((a, b, stratum_of(len(known[0])), grid_of(p)))
     return out
 
 

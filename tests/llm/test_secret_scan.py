@@ -68,3 +68,25 @@ def test_secrets_module_tokens():
     known = [s.infer(r) for r in runs]
     passed = [min(1.0, 3 * min(s.battery(*k))) > 0.001 for k in known if k]
     assert len(passed) >= 190 and np.mean(passed) > 0.95
+
+
+def test_random_values_after_names_are_found(spark):
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list(string.ascii_letters + string.digits), n - 1)) + "7"
+    heads = ["AWS_SECRET_ACCESS_KEY=", "KEY=", "https://host.example/x?sig=", "https://host.example/x?a=1&sig=", "name_or-path/", "some_long-path/to/", "A_B-c+"]
+    found = [(h, key(n)) for h in heads for n in (32, 40) for _ in range(10)]
+    got = s.scan(spark.createDataFrame([(i, f"see {h}{k} there") for i, (h, k) in enumerate(found)], "doc_id long, text string")).collect()
+    at = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")] for r in got}
+    covered = [any(a <= 4 + len(h) and b == 4 + len(h + k) for a, b in at[i]) for i, (h, k) in enumerate(found)]
+    for h in heads:
+        assert np.mean([c for c, (x, _) in zip(covered, found) if x == h]) >= 0.9, h
+
+
+def test_only_padding_belongs_to_a_run():
+    key = "aB3dE6gH9jK2mN5pQ8sT"
+    spans = lambda t: [(a, b) for a, b, *_ in s.candidates(t, s.base_spans(t))]
+    assert spans(f"{key}== ends") == [(0, 22)]
+    assert spans(f"K={key}=") == [(2, 23)]
+    assert spans(f"{key}={key}") == [(0, 20), (21, 41)]
+    assert spans("=" * 50 + key) == [(50, 70)]
+    assert (6, 26) in spans(f"a_b-c/{key}")
