@@ -1,22 +1,46 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphloom.llm import near_duplicates as nd
 from graphloom.llm.prob_minhash import signatures
 
 
-def shingles(text):
+def counted(text):
     words = (text or "").encode().split()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter({tuple(words): 1} if words else {})
+
+
+def shingles(text):
+    return set(counted(text))
+
+
+def probability(a, b):
+    """The probability Jaccard similarity of two counters, by its definition."""
+    x, y = ({k: n / sum(c.values()) for k, n in c.items()} for c in (a, b))
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in set(x) & set(y))
+
+
+def linked(a, b):
+    """Alike by sets or by counts; by counts only looked at where the overlap of the weights leaves it open."""
+    if not a or not b:
+        return False
+    if len(a.keys() & b.keys()) >= 0.8 * len(a.keys() | b.keys()):
+        return True
+    na, nb = sum(a.values()), sum(b.values())
+    if (max(a.values()) == 1 and max(b.values()) == 1) or sum(min(a[k] / na, b[k] / nb) for k in a.keys() & b.keys()) < 0.8:
+        return False
+    return probability(a, b) >= 0.8
 
 
 def brute(rows):
-    """The classes of all pairs of similarity 0.8 or more, and equal texts."""
+    """The classes of all linked pairs, and equal texts."""
     texts = sorted({t or "" for _, t in rows})
-    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+    sets, parent = [counted(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
@@ -25,7 +49,7 @@ def brute(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if linked(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     at = {t: find(i) for i, t in enumerate(texts)}
     out = defaultdict(list)
@@ -76,9 +100,10 @@ def test_against_brute_force(spark):
     assert nd.classes(df.limit(0)).count() == 0
 
 
-def test_large_buckets_are_cut_again(spark, monkeypatch):
-    monkeypatch.setattr(nd, "MOST_PAIRED", 3)
-    monkeypatch.setattr(nd, "STARS", 1)
+def test_no_link_is_lost_whatever_the_centre(spark, monkeypatch):
+    """Stars round any node: what they miss is found by the prefixes."""
+    plain = nd._with_degrees
+    monkeypatch.setattr(nd, "_with_degrees", lambda nodes: plain(nodes).withColumn("degree", F.abs(F.xxhash64("node", F.lit(3))) % 1000))
     found = rows()
     df = spark.createDataFrame(found, "doc_id long, text string")
     got = defaultdict(list)
@@ -87,6 +112,41 @@ def test_large_buckets_are_cut_again(spark, monkeypatch):
     assert sorted(tuple(sorted(v)) for v in got.values()) == brute(found)
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(5)
+    n, links = 400, [(i, i + 1) for i in range(0, 150)] + [(rng.randrange(200, 260), rng.randrange(260, 400)) for _ in range(90)]
+    degree = [rng.randrange(7) for _ in range(n)]
+    ranked = [sorted(p, key=lambda i: (degree[i], i)) for p in links]
+    got = nd.components(spark.createDataFrame([(a, degree[a], b, degree[b]) for a, b in ranked], "a long, da long, b long, db long"))
+    label = {i: i for i in range(n)} | {r.node: r.label for r in got.collect()}
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    assert len({(label[i], find(i)) for i in range(n)}) == len({find(i) for i in range(n)}) == len(set(label.values()))
+
+
+def test_probability_similarity_is_its_definition():
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = (Counter({rng.randrange(30): rng.choice((1, 1, 2, 50)) for _ in range(rng.randrange(1, 30))}) for _ in "ab")
+        x, y = ((np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], float)) for c in (a, b))
+        assert abs(nd.probability_similarity(*x, *y) - probability(a, b)) < 1e-9
+
+
+def test_rows_alike_in_id_and_text(spark):
+    one = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (None, None, "u"), (None, "", "v")]
+    df = spark.createDataFrame(one, "doc_id long, text string, source string")
+    first = sorted(map(tuple, nd.keep_one(df).collect()), key=str)
+    assert len(first) == 2 and first[0][0] == 1
+    assert all(sorted(map(tuple, nd.keep_one(df.repartition(k, "source")).collect()), key=str) == first for k in (2, 5))
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(4)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -128,9 +188,12 @@ def test_near_copies_with_repeated_lines(spark):
         for few, many in ((0, 50), (0, 100), (0, 200), (10, 200)):
             base, line = text(400), text(8)
             found += ["\n".join([base] + [line] * n) for n in (few, many)]
+    # alike by counts alone: a phrase that fills most of both
+    for k in range(8):
+        found += ["\n".join([text(30)] + [text(9) + " "] * 1 + [f"p{k} q r s t u v"] * 120) for _ in "ab"]
     found = list(enumerate(found))
     got = defaultdict(list)
     for r in nd.classes(spark.createDataFrame(found, "doc_id long, text string").repartition(5)).collect():
         got[r.class_id].append(r.doc_id)
     assert sorted(tuple(sorted(v)) for v in got.values()) == brute(found)
-    assert len(got) == 32
+    assert len(got) == 32 + 8
