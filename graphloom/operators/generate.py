@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,13 +31,19 @@ class Property:
     most: float | None = None
     generator: str | None = None  # person, organization, uri
     probability: float = 1.0
+    excluded: bool = False
 
 
 @dataclass(frozen=True)
 class Shape:
+    """optional: how many of the optional properties an entity uses (None: each by its probability), less or more by up to `variance`; most: values of an entity in all."""
+
     id: str
     properties: tuple = ()
     weight: float = 1.0
+    optional: float | None = None
+    variance: int = 0
+    most: int | None = None
 
 
 def distribute(shapes: list[Shape], total: int, how: str = "equal", counts: dict | None = None) -> dict[str, int]:
@@ -124,22 +131,37 @@ def generate(spark: SparkSession, shapes: list[Shape], total: int, strategy: str
         i = F.col("id")
         me = F.concat(F.lit(s.id + "-"), (i + 1).cast("string"))
         base = spark.range(n[s.id])
-        arcs = [F.array(F.struct(F.lit(TYPE).alias("p"), constant(Term("iri", s.id)).alias("o")))]
-        for p in s.properties:
+        kind = F.array(F.struct(F.lit(TYPE).alias("p"), constant(Term("iri", s.id)).alias("o")))
+        arcs = []
+        own = sorted((p for p in s.properties if not p.excluded), key=lambda p: p.low == 0)
+        # the optional properties in an order of each entity's own; the first ones are used
+        drawn = F.array_sort(F.array(*(F.struct(_hash(seed, s.id, p.iri, "rank", i).alias("h"), F.lit(p.iri).alias("p")) for p in own if p.low == 0)))
+        used = None if s.optional is None else F.lit(round(s.optional)) + (F.pmod(_hash(seed, s.id, "variance", i), F.lit(2 * s.variance + 1)) - s.variance if s.variance else 0)
+        for p in own:
             size = cardinality(p, i, strategy, seed)
-            if p.low == 0 and p.probability < 1:
+            if p.low == 0 and used is not None:
+                size = F.when(F.array_position(F.transform(drawn, lambda x: x["p"]), p.iri) <= used, size).otherwise(0)
+            elif p.low == 0 and p.probability < 1:
                 size = F.when(_share(_hash(seed, s.id, p.iri, "use", i)) < p.probability, size).otherwise(0)
             slots = F.when(size > 0, F.sequence(F.lit(1), size.cast("int"))).otherwise(F.array().cast("array<int>"))
             arcs.append(_arcs(slots, p, s.id, i, n, seed))
-        parts.append(base.select(me.alias("s"), F.explode(F.concat(*arcs)).alias("a")).select("s", "a.p", "a.o"))
+        values = F.concat(*arcs) if arcs else kind
+        # mandatory properties come first, so they are the last that a limit cuts
+        every = kind if not arcs else F.concat(kind, values if s.most is None else F.slice(values, 1, s.most))
+        parts.append(base.select(me.alias("s"), F.explode(every).alias("a")).select("s", "a.p", "a.o"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def write(df: DataFrame, path: str, compression: str = "none") -> dict:
-    """N-Triples parts (1, 4, 8 or 16 by the number of triples) and statistics."""
+def write(df: DataFrame, path: str, compression: str = "none", expected: int | None = None) -> dict:
+    """N-Triples parts (1, 4, 8 or 16, by `expected` triples or, without it, by a count) with a manifest of them beside, and statistics."""
     from ..sources.rdf import to_lines
 
-    total = df.count()
+    spark = df.sparkSession
+    total = df.count() if expected is None else expected
     parts = 1 if total < 10_000 else 4 if total < 100_000 else 8 if total < 1_000_000 else 16
     to_lines(df).repartition(parts).write.option("compression", compression).text(path)
-    return {"triples": total, "parts": parts}
+    # what was written is counted where it lies: a row for each file reaches the driver
+    files = spark.read.text(path).groupBy(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("triples")).orderBy("file").collect()
+    manifest = {"parts": [{"file": r["file"], "triples": r["triples"]} for r in files], "triples": sum(r["triples"] for r in files)}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(path.rstrip("/") + "-manifest")
+    return {"triples": manifest["triples"], "parts": parts, "manifest": manifest["parts"]}

@@ -22,6 +22,16 @@ class Graph:
     """Triple patterns are the primitive; all navigation is made of them."""
 
     spark: SparkSession
+    #: Whether patterns give each triple once.
+    sets = False
+
+    def functional(self, p: str) -> bool:
+        """Whether a subject is known to have one value of a predicate at most."""
+        return False
+
+    def covers(self, cls: str, p: str) -> bool:
+        """Whether each subject of a predicate is known to be an instance of a class."""
+        return False
 
     def pattern(self, s: str | None = None, p: str | None = None, o: Term | None = None) -> DataFrame:
         raise NotImplementedError
@@ -38,18 +48,31 @@ class Graph:
         t = t if nodes is None else t.join(nodes.select("node").distinct(), "node", "left_semi")
         return t.groupBy("node", "p").agg(F.collect_set("o").alias("values"))
 
-    def incoming_arcs(self, nodes: DataFrame | None = None) -> DataFrame:
+    def incoming(self, nodes: DataFrame | None = None) -> DataFrame:
+        """node, p, s: a row for each arc, so a node that everything points at is no row of its own size."""
         t = self.triples().where(F.col("o.k") != "literal").select(F.col("o.lex").alias("node"), "p", "s")
         t = t if nodes is None else t.join(nodes.select("node").distinct(), "node", "left_semi")
-        return t.groupBy("node", "p").agg(F.collect_set("s").alias("values"))
+        return t if self.sets else t.distinct()
+
+    def incoming_arcs(self, nodes: DataFrame | None = None) -> DataFrame:
+        """node, p, values: as sets in a row each. Nodes with very many arcs are better read with `incoming`."""
+        return self.incoming(nodes).groupBy("node", "p").agg(F.collect_set("s").alias("values"))
 
     def outgoing_from_list(self, predicates: Iterable[str]) -> tuple[DataFrame, DataFrame]:
         """The triples whose predicate is listed, and the remaining ones (a row for each triple)."""
         t, listed = self.triples(), F.col("p").isin(*predicates)
         return t.where(listed), t.where(~listed)
 
+    def incoming_from_list(self, predicates: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+        """The arcs (node, p, s) whose predicate is listed, and the remaining ones."""
+        t, listed = self.incoming(), F.col("p").isin(*predicates)
+        return t.where(listed), t.where(~listed)
+
     def objects_for(self, subjects: DataFrame, p: str) -> DataFrame:
-        """node, value: a set for each node; a literal has no objects."""
+        """node, value: a set for each node. subjects: `node`, a string, or a term column; a literal among terms is an error."""
+        if subjects.schema["node"].dataType.simpleString() != "string":
+            wrong = F.raise_error(F.concat(F.lit("a literal has no objects: "), F.col("node.lex"))).cast("string")
+            subjects = subjects.select(F.when(F.col("node.k") == "literal", wrong).otherwise(F.col("node.lex")).alias("node"))
         return subjects.select("node").join(self.pattern(p=p), F.col("node") == F.col("s")).select("node", F.col("o").alias("value")).distinct()
 
     def subjects_for(self, p: str, o: Term) -> DataFrame:
@@ -138,26 +161,52 @@ class FrameGraph(Graph):
             out = out.where(F.col("s") == s)
         if o is not None:
             out = out.where(is_term(F.col("o"), o))
-        return out
+        # a triple may be in several named graphs
+        return out.distinct() if "g" in self.df.columns else out
+
+    def named_graphs(self) -> DataFrame:
+        """g: the names of the graphs; the default graph has none."""
+        return self.df.where(F.col("g").isNotNull() & (F.col("g") != "")).select("g").distinct()
+
+    def only(self, names: Iterable[str]) -> FrameGraph:
+        """The triples of some named graphs, as one graph."""
+        if "g" not in self.df.columns:
+            raise ValueError("the graph has no named graphs")
+        return FrameGraph(self.df.where(F.col("g").isin(*names)).select("s", "p", "o").distinct())
 
 
 class LiftedGraph(Graph):
     """maps: predicate -> list of (table, subject, object); subject a string column, object a term column of the table."""
 
-    def __init__(self, spark: SparkSession, maps: dict[str, list[tuple[DataFrame, Column, Column]]], types: dict[str, tuple[DataFrame, Column]], functional: bool = True):
-        """functional: keys are unique, so a subject has one value for a predicate at most and each triple is there once; otherwise triples are made a set."""
-        self.spark, self.maps, self.types, self.functional = spark, maps, types, functional
+    sets = True
+
+    def __init__(self, spark: SparkSession, maps: dict[str, list[tuple[DataFrame, Column, Column]]], types: dict[str, tuple[DataFrame, Column]], repeated: Iterable[DataFrame] = ()):
+        """repeated: tables whose subjects may name several rows; their triples are made a set, those of the others are one."""
+        self.spark, self.maps, self.types = spark, maps, types
+        self.repeated = {id(df) for df in repeated}
+
+    def functional(self, p: str) -> bool:
+        sources = self.maps.get(p, ())
+        return len(sources) == 1 and id(sources[0][0]) not in self.repeated
+
+    def covers(self, cls: str, p: str) -> bool:
+        df, subject = self.types.get(cls, (None, None))
+        sources = self.maps.get(p, ())
+        return df is not None and len(sources) == 1 and sources[0][0] is df and sources[0][1] is subject
+
+    def _set(self, df: DataFrame, part: DataFrame) -> DataFrame:
+        return part.distinct() if id(df) in self.repeated else part
 
     def pattern(self, s=None, p=None, o=None) -> DataFrame:
         parts = []
         for name, sources in self.maps.items():
             if p in (None, name):
                 for df, subject, obj in sources:
-                    parts.append(df.select(subject.alias("s"), F.lit(name).alias("p"), obj.alias("o")).where(F.col("o").isNotNull() & F.col("o.lex").isNotNull()))
+                    parts.append(self._set(df, df.select(subject.alias("s"), F.lit(name).alias("p"), obj.alias("o")).where(F.col("o").isNotNull() & F.col("o.lex").isNotNull())))
         if p in (None, TYPE):
             for cls, (df, subject) in self.types.items():
                 if o is None or o == Term("iri", cls):
-                    parts.append(df.select(subject.alias("s"), F.lit(TYPE).alias("p"), constant(Term("iri", cls)).alias("o")))
+                    parts.append(self._set(df, df.select(subject.alias("s"), F.lit(TYPE).alias("p"), constant(Term("iri", cls)).alias("o"))))
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         out = reduce(DataFrame.unionByName, parts)
@@ -165,7 +214,7 @@ class LiftedGraph(Graph):
             out = out.where(F.col("s") == s)
         if o is not None and p != TYPE:
             out = out.where(is_term(F.col("o"), o))
-        return out if self.functional else out.distinct()
+        return out
 
     def triples(self) -> DataFrame:
         """Each table is read once: its columns become one array that is exploded."""
@@ -178,9 +227,8 @@ class LiftedGraph(Graph):
         parts = []
         for df, subject, pairs in by_table.values():
             arcs = F.array(*(F.struct(F.lit(n).alias("p"), o.alias("o")) for n, o in pairs))
-            parts.append(df.select(subject.alias("s"), F.explode(arcs).alias("a")).select("s", "a.p", "a.o").where(F.col("o.lex").isNotNull()))
-        out = reduce(DataFrame.unionByName, parts)
-        return out if self.functional else out.distinct()
+            parts.append(self._set(df, df.select(subject.alias("s"), F.explode(arcs).alias("a")).select("s", "a.p", "a.o").where(F.col("o.lex").isNotNull())))
+        return reduce(DataFrame.unionByName, parts)
 
 
 class FederatedGraph(Graph):

@@ -8,9 +8,10 @@ small and a lost executor doesn't start the loop anew. `seeds` limits a closure
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import key_of, resource
@@ -65,10 +66,19 @@ class PathError(ValueError):
 
 
 def shared_checkpoints(df: DataFrame) -> None:
-    """Use the session's checkpoint folder; a temporary one only where none is set."""
+    """Use the session's checkpoint folder; a temporary one only where none is set and driver and executors are one process."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the session's checkpoint folder, which driver and executors share."""
+    shared_checkpoints(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -135,10 +145,17 @@ def pairs(graph: Graph, path, seeds: DataFrame | None = None, strict: bool = Fal
         if not path.parts:
             return _identity(graph, seeds)
         out = pairs(graph, path.parts[0], seeds, strict)
+        # a step with one value at most makes no rows, so what it may make equal is left until rows can multiply
+        single, repeats = functional(graph, path.parts[0]), False
         for p in path.parts[1:]:
             right = pairs(graph, p, None, strict).select(F.col("start").alias("middle"), F.col("end").alias("far"))
-            out = out.where(F.col("end.k") != "literal").join(right, F.col("end.lex") == F.col("middle")).select("start", F.col("far").alias("end")).distinct()
-        return out
+            if not functional(graph, p):
+                out, repeats = (out.distinct() if repeats else out), True
+            elif not single:
+                repeats = True
+            single = single and functional(graph, p)
+            out = out.where(F.col("end.k") != "literal").join(right, F.col("end.lex") == F.col("middle")).select("start", F.col("far").alias("end"))
+        return out.distinct() if repeats else out
     if isinstance(path, Opt):
         return _identity(graph, seeds).unionByName(pairs(graph, path.path, seeds, strict)).distinct()
     if isinstance(path, (Star, Plus)):
@@ -165,7 +182,14 @@ def pairs(graph: Graph, path, seeds: DataFrame | None = None, strict: bool = Fal
 
 def _set(graph: Graph, df: DataFrame) -> DataFrame:
     """Without duplicates; a graph whose patterns have none needs no shuffle for that."""
-    return df if getattr(graph, "functional", False) else df.distinct()
+    return df if graph.sets else df.distinct()
+
+
+def functional(graph: Graph, path) -> bool:
+    """Whether a start is known to have one end at most."""
+    if isinstance(path, Seq):
+        return all(functional(graph, p) for p in path.parts)
+    return isinstance(path, Pred) and graph.functional(path.iri)
 
 
 def lists(graph: Graph, heads: DataFrame) -> DataFrame:

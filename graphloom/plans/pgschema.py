@@ -253,6 +253,13 @@ class PropertyGraph:
         return joined.select("element_id", "type_name", "expected", conforms.alias("conforms"), (conforms == F.col("expected")).alias("agrees"))
 
 
+def write_results(results: DataFrame, path: str, kind: str = "json") -> None:
+    """Validation results as JSON lines or CSV with a header, one part for each partition."""
+    if kind not in ("json", "csv"):
+        raise PgError(f"no such sink: {kind}")
+    (results.write.json(path) if kind == "json" else results.write.option("header", True).csv(path))
+
+
 # text formats
 _TOKEN = re.compile(
     r"""\s+|//[^\n]*|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<date>\d{4}-\d{2}-\d{2})|(?P<number>-?\d+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>\)-\[|\]->|-\[|->|\|\||>=|<=|[(){}\[\]:;,&|@?+*=><!-])""",

@@ -104,7 +104,7 @@ class Validator:
             return self.graph.pattern(p=SUBCLASS, o=iri(cls)).select(F.col("s").alias("node"))
         edges = self.graph.pattern(p=SUBCLASS).where(F.col("o.k") != "literal").select(F.col("o.lex").alias("start"), F.col("s").alias("end"))
         seed = self.graph.spark.createDataFrame([(cls, cls)], "start string, end string")
-        return reach(edges, seed).select(F.col("end").alias("node"))
+        return reach(edges, seed).select(F.col("end").alias("node")).where(F.col("node") != cls)
 
     def instances(self, cls: str, levels: bool) -> DataFrame:
         """node: instances of a class, and of its subclasses."""
@@ -135,18 +135,21 @@ class Validator:
                 raise ShaclError(f"no such target: {kind}")
         if not parts:
             return None
-        if len(parts) == 1 and shape.targets[0][0] in ("node", "class") and getattr(self.graph, "functional", False):
+        kind = shape.targets[0][0]
+        if len(parts) == 1 and (kind == "node" or (kind == "class" and self.mode == "native" and self.graph.sets)):
             return parts[0]
         return reduce(DataFrame.unionByName, parts).dropDuplicates(["fk"])
 
-    def objects(self, focus: DataFrame, path) -> DataFrame:
-        """fk, value: the set of values of each focus node."""
+    def objects(self, focus: DataFrame, path, cls: str | None = None) -> DataFrame:
+        """fk, value: the set of values of each focus node. cls: the class whose instances, all of them, are the focus nodes."""
         if isinstance(path, str):
             path = Pred(path)
         if isinstance(path, Pred):
             found = self.graph.pattern(p=path.iri).select(F.col("s").alias("start"), F.col("o").alias("end"))
+            if cls is not None and self.graph.covers(cls, path.iri):
+                return found.select(F.col("start").alias("fk"), F.col("end").alias("value"))
             joined = focus.select("fk").join(found, F.col("fk") == F.col("start")).select("fk", F.col("end").alias("value"))
-            return joined if getattr(self.graph, "functional", False) else joined.distinct()
+            return joined if self.graph.sets else joined.distinct()
         seeds = focus.where(F.col("focus.k") != "literal").select(F.col("fk").alias("start"))
         found = pairs(self.graph, path, seeds, strict=self.mode == "native")
         return focus.select("fk").join(found, F.col("fk") == F.col("start")).select("fk", F.col("end").alias("value"))
@@ -166,7 +169,7 @@ class Validator:
 
     def _rows(self, shape: Shape, df: DataFrame, component, value: Column | None = None, path: Column | None = None, message: Column | None = None) -> DataFrame:
         """Violations from (fk, ...)."""
-        text = dict(shape.messages).get("", next((m for _, m in shape.messages), ""))
+        text = dict(shape.messages).get("", next((m for _, m in sorted(shape.messages)), ""))
         own = F.lit(text_of(shape.path) if shape.path is not None else None)
         return df.select(
             F.col("fk").alias("focus"),
@@ -178,13 +181,13 @@ class Validator:
             (F.lit(text) if message is None else F.coalesce(message, F.lit(text))).alias("message"),
         )
 
-    def check(self, shape: Shape, focus: DataFrame) -> DataFrame | None:
-        """The violations of the focus nodes; None where the shape can have none."""
+    def check(self, shape: Shape, focus: DataFrame, cls: str | None = None) -> DataFrame | None:
+        """The violations of the focus nodes (all instances of cls, if it is given); None where the shape can have none."""
         if shape.deactivated:
             return None
         self.stack.append(shape.id)
         try:
-            values = focus.select("fk", F.col("focus").alias("value")) if shape.path is None else self.objects(focus, shape.path)
+            values = focus.select("fk", F.col("focus").alias("value")) if shape.path is None else self.objects(focus, shape.path, cls)
             out = []
             tests = [(c.name, t) for c in shape.constraints if (t := self._value_test(c)) is not None]
             if tests:
@@ -200,7 +203,7 @@ class Validator:
                 marks = F.array(*(F.when((size < c.args[0]) if c.name == "minCount" else (size > c.args[0]), F.lit(c.name)) for c in counts))
                 out.append(self._rows(shape, counted.select("fk", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("c")), F.col("c")))
             for c in shape.constraints:
-                found = self._other(shape, c, focus, values)
+                found = self._other(shape, c, focus, values, cls)
                 if found is not None:
                     out.append(found)
             return reduce(DataFrame.unionByName, out) if out else None
@@ -231,14 +234,17 @@ class Validator:
             return ~key_of(v).isin(*(_key(t) for t in a[0]))
         return None
 
-    def _nodes(self, values: DataFrame) -> DataFrame:
+    def _nodes(self, shape: Shape, focus: DataFrame, values: DataFrame) -> DataFrame:
+        """The value nodes as focus nodes; a node shape's own are its focus nodes."""
+        if shape.path is None:
+            return focus.select("fk", "focus")
         return values.select(key_of(F.col("value")).alias("fk"), F.col("value").alias("focus")).dropDuplicates(["fk"])
 
-    def _other(self, shape: Shape, c: Constraint, focus: DataFrame, values: DataFrame) -> DataFrame | None:
+    def _other(self, shape: Shape, c: Constraint, focus: DataFrame, values: DataFrame, cls: str | None) -> DataFrame | None:
         v, a = F.col("value"), c.args
         keyed = values.withColumn("vk", key_of(v))
         if c.name == "class":
-            known = self.instances(a[0], True).select(F.col("node").alias("vk")).distinct()
+            known = self.instances(a[0], True).select(F.col("node").alias("vk"))
             return self._rows(shape, keyed.join(known, "vk", "left_anti"), c.name, F.col("value.lex"))
         if c.name == "hasValue":
             have = values.where(is_term(v, a[0])).select("fk").distinct()
@@ -247,23 +253,25 @@ class Validator:
             twice = values.where(F.col("value.lang") != "").groupBy("fk", F.col("value.lang").alias("lang")).agg(F.count("*").alias("n")).where("n > 1")
             return self._rows(shape, twice, c.name)
         if c.name in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
-            other = self.objects(focus, a[0]).select("fk", F.col("value").alias("other"))
+            other = self.objects(focus, a[0], cls).select("fk", F.col("value").alias("other"))
             if c.name in ("lessThan", "lessThanOrEquals"):
                 fits = compare(v, "<" if c.name == "lessThan" else "<=", F.col("other"))
                 return self._rows(shape, values.join(other, "fk").where(~F.coalesce(fits, F.lit(False))), c.name, F.col("value.lex"))
             theirs = other.select("fk", key_of(F.col("other")).alias("vk"), F.col("other").alias("value"))
             if c.name == "disjoint":
                 return self._rows(shape, keyed.join(theirs.select("fk", "vk"), ["fk", "vk"], "left_semi"), c.name, F.col("value.lex"))
-            odd = keyed.select("fk", "vk", "value").join(theirs.select("fk", "vk"), ["fk", "vk"], "left_anti").unionByName(theirs.join(keyed.select("fk", "vk"), ["fk", "vk"], "left_anti"))
-            return self._rows(shape, odd, c.name, F.col("value.lex"))
+            # which sides have the value, in one grouping
+            sides = keyed.select("fk", "vk", "value.lex", F.lit(1).alias("side")).unionByName(theirs.select("fk", "vk", "value.lex", F.lit(2).alias("side")))
+            odd = sides.groupBy("fk", "vk").agg(F.bit_or("side").alias("sides"), F.first("lex").alias("lex")).where("sides <> 3")
+            return self._rows(shape, odd, c.name, F.col("lex"))
         if c.name == "property":
-            inner = self.check(self._shape(a[0]), self._nodes(values))
+            inner = self.check(self._shape(a[0]), self._nodes(shape, focus, values), cls if shape.path is None else None)
             if inner is None or shape.path is None:
                 return inner
             # a result for each parent of a value node
             return keyed.select("vk").join(inner, F.col("vk") == F.col("focus")).select(*inner.columns)
         if c.name in ("node", "and", "not", "or", "xone"):
-            nodes = self._nodes(values)
+            nodes = self._nodes(shape, focus, values)
             fails = [self.failing(s, nodes).select(F.col("fk").alias("vk"), F.lit(1).alias(f"f{i}")) for i, s in enumerate(a[0] if c.name in ("and", "or", "xone") else (a[0],))]
             marked = keyed
             for f in fails:
@@ -273,7 +281,7 @@ class Validator:
             return self._rows(shape, marked.where(wrong), c.name, F.col("value.lex"))
         if c.name == "qualified":
             inner, least, most, siblings = a
-            nodes = self._nodes(values)
+            nodes = self._nodes(shape, focus, values)
             fit = keyed.join(self.failing(inner, nodes).withColumnRenamed("fk", "vk"), "vk", "left_anti")
             for s in siblings:
                 fit = fit.join(self.failing(s, nodes).withColumnRenamed("fk", "vk"), "vk", "left_semi")
@@ -337,7 +345,8 @@ class Validator:
                 continue
             if nodes is not None:
                 focus = focus.join(nodes.select(F.col("node").alias("fk")).distinct(), "fk", "left_semi")
-            found = self.check(shape, focus)
+            whole = shape.targets[0][1] if nodes is None and self.mode == "native" and len(shape.targets) == 1 and shape.targets[0][0] == "class" else None
+            found = self.check(shape, focus, whole)
             if found is not None:
                 parts.append(found)
         if not parts:
@@ -394,6 +403,29 @@ def report_triples(report: DataFrame) -> DataFrame:
     return rows.unionByName(root).unionByName(links)
 
 
+def read_report(graph: Graph) -> DataFrame:
+    """The rows of a report given as triples."""
+    about = {SH + n: c for n, c in (("focusNode", "focus"), ("sourceConstraintComponent", "component"), ("resultSeverity", "severity"), ("sourceShape", "source_shape"), ("resultPath", "path"), ("value", "value"), ("resultMessage", "message"))}
+    arcs = graph.triples().where(F.col("p").isin(*about))
+    local = F.regexp_replace(F.replace("component", F.lit(SH), F.lit("")), "ConstraintComponent$", "")
+    wide = arcs.groupBy("s").agg(*(F.max(F.when(F.col("p") == name, F.col("o.lex"))).alias(c) for name, c in about.items()))
+    rows = wide.where(F.col("focus").isNotNull()).withColumn("component", F.concat(F.lower(F.substring(local, 1, 1)), F.substring(local, 2, 99)))
+    return rows.withColumns({"severity": F.replace("severity", F.lit(SH), F.lit("")), "message": F.coalesce("message", F.lit(""))}).select(*COLUMNS)
+
+
+def with_messages(report: DataFrame, schema: Schema) -> DataFrame:
+    """The report with `messages`: language -> text of the source shape's messages ("" has none); several of a language are joined."""
+    known = []
+    for s in schema.shapes.values():
+        texts: dict[str, str] = {}
+        for language, text in s.messages:
+            texts[language] = f"{texts[language]} {text}" if language in texts else text
+        known.append((s.id, texts))
+    table = report.sparkSession.createDataFrame(known, "source_shape string, messages map<string,string>")
+    # a row for each shape of the schema
+    return report.join(F.broadcast(table), "source_shape", "left")
+
+
 # shapes graphs
 class _Index:
     def __init__(self, triples):

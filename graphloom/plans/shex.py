@@ -176,7 +176,12 @@ class Schema:
         return out
 
     def check(self) -> None:
-        """References exist, and no cycle goes through a negation."""
+        """References and included expressions exist, no expression includes itself, and no cycle goes through a negation."""
+        for label in self.triple_exprs:
+            self._included(label, ())
+        for e in self.shapes.values():
+            for label in _includes(e):
+                self._included(label, ())
         refs, groups = self.references(), self.components()
         for label, found in refs.items():
             for other, negative in found:
@@ -185,6 +190,14 @@ class Schema:
                 if negative and other in groups[label]:
                     raise ShexError(f"a negation lies on the cycle of {label}")
 
+    def _included(self, label: str, above: tuple) -> None:
+        if label in above:
+            raise ShexError(f"the expression {label} includes itself")
+        if label not in self.triple_exprs:
+            raise ShexError(f"no expression {label}")
+        for other in _includes(self.triple_exprs[label]):
+            self._included(other, (*above, label))
+
     def recursive(self, label: str) -> bool:
         return len(self.components()[label]) > 1 or any(x == label for x, _ in self.references()[label])
 
@@ -196,6 +209,15 @@ class Schema:
         return list(dict.fromkeys([*direct, *(d for k in direct for d in self.descendants(k))]))
 
 
+def _includes(e) -> list[str]:
+    """The labels that an expression includes itself, without following them or its references."""
+    if isinstance(e, Include):
+        return [e.label]
+    if isinstance(e, (ShapeAnd, ShapeOr, EachOf, OneOf)):
+        return [x for p in e.parts for x in _includes(p)]
+    return _includes(e.inner) if isinstance(e, ShapeNot) else _includes(e.expr) if isinstance(e, ShapeDef) else _includes(e.value) if isinstance(e, TripleConstraint) else []
+
+
 # conditions on a value alone
 def value_condition(e, v: Column) -> Column | None:
     """The Column of an expression that looks at the value alone; None if it needs its neighbours."""
@@ -567,3 +589,12 @@ def shape_map(graph: Graph, rows: list[tuple]) -> DataFrame:
             df = found.select(F.col(f"`{found.columns[0]}`").alias("node")).distinct()
         parts.append(df.withColumn("shape", F.lit(shape)))
     return reduce(DataFrame.unionByName, parts)
+
+
+def write_results(results: DataFrame, path: str, kind: str = "csv", sort: str | None = None) -> None:
+    """A result shape map (node, shape, status, details) as CSV with a header or JSON lines; sort: a column."""
+    named = results.withColumnRenamed("reason", "details")
+    named = named.orderBy(sort) if sort else named
+    if kind not in ("json", "csv"):
+        raise ShexError(f"no such sink: {kind}")
+    (named.write.json(path) if kind == "json" else named.write.option("header", True).csv(path))

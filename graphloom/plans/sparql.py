@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import LANG_STRING, NUMERIC, TERM, XSD, Term, compare, constant, key_of, rank, regex, resource, same, term
+from ..functions.terms import LANG_STRING, NUMERIC, TERM, XSD, Term, compare, constant, is_term, key_of, rank, regex, resource, same, term
 from ..operators.graph import Graph, fresh_bnode
 from ..operators.paths import Alt, Inv, Opt, Plus, Pred, Seq, Star, inverse, pairs
 from .sparql_parser import Query, SparqlError, Var, parse
@@ -44,8 +44,13 @@ def _equal(a: Column, b: Column, node: bool, maybe: bool) -> Column:
 
 
 class Translator:
-    def __init__(self, graph: Graph):
+    """named: the triples of the named graphs, with a column g; within: the variable that a GRAPH pattern binds to g; services: IRI -> graph."""
+
+    def __init__(self, graph: Graph, named: DataFrame | None = None, within: str | None = None, services: dict[str, Graph] | None = None):
         self.graph, self.spark, self.fresh = graph, graph.spark, 0
+        df = getattr(graph, "df", None)
+        self.named_triples = named if named is not None else df if df is not None and "g" in df.columns else None
+        self.within, self.services = within, services or {}
 
     # patterns
     def unit(self) -> Sol:
@@ -57,6 +62,17 @@ class Translator:
             return b
         if how == "inner" and not b.vars:
             return a
+        unsure = [v for v in shared if v in a.maybe or v in b.maybe]
+        if unsure and len(unsure) == len(shared):
+            # without a variable that is bound for sure there is no key: rows are told apart by what they bind
+            if how == "inner" or not (set(unsure) & b.maybe):
+                return self._by_bound(a, b, min(unsure, key=lambda v: v in b.maybe), how, extra)
+            if how == "left" and extra is None:
+                both = self.join(a, b)
+                alone = self.join(a, b, "left_anti")
+                return self.union(both, alone)
+            if how == "left_anti" and extra is None:
+                return self._none_of(a, b, unsure[0])
         right = b.df.select(*(_q(v).alias(f"r.{v}" if v in shared else v) for v in b.vars))
         conds = [_equal(_q(v), _q(f"r.{v}"), v in a.nodes or v in b.nodes, v in a.maybe or v in b.maybe) for v in shared]
         if extra is not None:
@@ -74,14 +90,52 @@ class Translator:
             maybe = (a.maybe & b.maybe) | {v for v in a.maybe | b.maybe if v not in shared}
         return Sol(joined.select(*cols), frozenset(maybe), frozenset(nodes))
 
+    @staticmethod
+    def _bound(x: Sol, v: str) -> Sol:
+        return Sol(x.df.where(_q(v).isNotNull()), x.maybe - {v}, x.nodes)
+
+    @staticmethod
+    def _unbound(x: Sol, v: str) -> Sol:
+        return Sol(x.df.where(_q(v).isNull()).drop(v), x.maybe - {v}, x.nodes - {v})
+
+    def _by_bound(self, a: Sol, b: Sol, v: str, how: str, extra) -> Sol:
+        """Rows that bind v join on it; what doesn't bind it goes with all that the rest allows."""
+        order = [*a.vars, *(x for x in b.vars if x not in a.vars)] if how in ("inner", "left") else a.vars
+        parts = []
+        left, right = (self._bound(a, v) if v in a.maybe else a), (self._bound(b, v) if v in b.maybe else b)
+        parts.append(self.join(left, right, how, extra))
+        if v in a.maybe:
+            free = self.join(self._unbound(a, v), b, how, extra)
+            parts.append(free if v in free.vars else Sol(free.df.withColumn(v, F.lit(None).cast(TERM)), free.maybe | {v}, free.nodes))
+        if v in b.maybe:
+            parts.append(self.join(left, self._unbound(b, v), how, extra))
+        out = reduce(self.union, parts)
+        return Sol(out.df.select(*map(_q, order)), out.maybe, out.nodes & set(order))
+
+    def _none_of(self, a: Sol, b: Sol, v: str) -> Sol:
+        """The rows of a that go with no row of b."""
+        left = self._bound(a, v) if v in a.maybe else a
+        out = self.join(left, self._bound(b, v) if v in b.maybe else b, "left_anti")
+        if v in b.maybe:
+            out = self.join(out, self._unbound(b, v), "left_anti")
+        if v in a.maybe:
+            free = self.join(self._unbound(a, v), b, "left_anti")
+            out = self.union(out, Sol(free.df.withColumn(v, F.lit(None).cast(TERM)), free.maybe | {v}, free.nodes))
+        return Sol(out.df.select(*map(_q, a.vars)), a.maybe, a.nodes)
+
     def triple(self, t) -> Sol:
         s, p, o = t
         if isinstance(p, (Pred, Var)) or isinstance(p, str):
             name = p.iri if isinstance(p, Pred) else None
             if isinstance(s, Term) and s.k == "literal":
                 return Sol(self._none([x for x in (s, p, o) if isinstance(x, Var)]))
-            df = self.graph.pattern(s.lex if isinstance(s, Term) else None, name, o if isinstance(o, Term) else None)
+            known = s.lex if isinstance(s, Term) else None, name, o if isinstance(o, Term) else None
             got = [(s, resource(F.col("s"))), (p, resource(F.col("p"))), (o, F.col("o"))]
+            if self.within is None:
+                df = self.graph.pattern(*known)
+            else:
+                df = self._in_graphs(*known)
+                got.insert(0, (Var(self.within), resource(F.col("g"))))
         elif isinstance(p, Inv):
             return self.triple((o, p.path, s)) if isinstance(p.path, Pred) else self.triple((s, inverse(p.path), o))
         elif isinstance(p, Seq) and p.parts:
@@ -93,6 +147,8 @@ class Translator:
             return Sol(whole.df.select(*map(_q, keep)), whole.maybe, whole.nodes)
         elif isinstance(p, Alt):
             return reduce(self.union, [self.triple((s, x, o)) for x in p.parts])
+        elif self.within is not None:
+            raise SparqlError("a closure within GRAPH needs an IRI")
         else:
             zero = isinstance(p, (Star, Opt))
             seeds = None
@@ -156,6 +212,8 @@ class Translator:
             return self.select(node[1])
         if kind == "graph":
             return self.named(node[1], node[2])
+        if kind == "service":
+            return self.service(*node[1:])
         if kind != "group":
             raise SparqlError(f"no such pattern: {kind}")
         out, filters, triples = self.unit(), [], []
@@ -222,15 +280,37 @@ class Translator:
         cols = [F.when(_q(f"{n}.k").isNotNull(), term(*(_q(f"{n}.{f}") for f in ("k", "lex", "dt", "lang")))).alias(n) for n in names]
         return Sol(df.select(*cols), frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in rows)))
 
+    def _in_graphs(self, s, p, o) -> DataFrame:
+        """The triples (s, p, o, g) of the named graphs that match."""
+        conds = [F.col("g").isNotNull() & (F.col("g") != "")]
+        conds += [F.col(c) == x for c, x in (("s", s), ("p", p)) if x is not None]
+        conds += [] if o is None else [is_term(F.col("o"), o)]
+        return self.named_triples.where(reduce(lambda x, y: x & y, conds)).select("s", "p", "o", "g").distinct()
+
     def named(self, name, group) -> Sol:
-        df = getattr(self.graph, "df", None)
-        if df is None or "g" not in df.columns:
-            raise SparqlError("the graph has no named graphs")
         from ..operators.graph import FrameGraph
 
-        if isinstance(name, Term):
-            return Translator(FrameGraph(df.where(F.col("g") == name.lex))).pattern(group)
-        raise SparqlError("GRAPH needs an IRI")
+        if self.named_triples is None:
+            raise SparqlError("the graph has no named graphs")
+        if isinstance(name, Var):
+            found = Translator(FrameGraph(self.named_triples), self.named_triples, name.name, self.services).pattern(group)
+            if name.name in found.vars:
+                return found
+            # a group without patterns holds in each graph
+            graphs = self.named_triples.where(F.col("g").isNotNull() & (F.col("g") != "")).select(resource(F.col("g")).alias(name.name)).distinct()
+            return self.join(Sol(graphs, nodes=frozenset({name.name})), found)
+        one = FrameGraph(self.named_triples.where(F.col("g") == name.lex).select("s", "p", "o").distinct())
+        return Translator(one, self.named_triples, None, self.services).pattern(group)
+
+    def service(self, name, group, silent: bool) -> Sol:
+        """The group's solutions on a registered graph or endpoint."""
+        if not isinstance(name, Term):
+            raise SparqlError("SERVICE needs an IRI")
+        if name.lex not in self.services:
+            if silent:
+                return self.unit()
+            raise SparqlError(f"no service {name.lex}")
+        return Translator(self.services[name.lex], services=self.services).pattern(group)
 
     def filter(self, sol: Sol, e) -> Sol:
         if e[0] == "and":
@@ -561,10 +641,23 @@ class Translator:
         return made.where(good).select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), "o").distinct()
 
 
-def query(graph: Graph, text: str, prefixes: dict | None = None) -> DataFrame:
-    """SELECT: a term column for each variable. CONSTRUCT and DESCRIBE: s, p, o. ASK: one row, `result`."""
+def translator(graph: Graph, q: Query, services: dict[str, Graph] | None = None) -> Translator:
+    """With FROM, the default graph is the union of the graphs that it names, and GRAPH sees those of FROM NAMED alone."""
+    from ..operators.graph import FrameGraph
+
+    if not q.graphs and not q.named:
+        return Translator(graph, services=services)
+    df = getattr(graph, "df", None)
+    if df is None or "g" not in df.columns:
+        raise SparqlError("FROM needs a graph with named graphs")
+    default = FrameGraph(df.where(F.col("g").isin(*q.graphs)).select("s", "p", "o").distinct())
+    return Translator(default, df.where(F.col("g").isin(*q.named)), services=services)
+
+
+def query(graph: Graph, text: str, prefixes: dict | None = None, services: dict[str, Graph] | None = None) -> DataFrame:
+    """SELECT: a term column for each variable. CONSTRUCT and DESCRIBE: s, p, o. ASK: one row, `result`. services: what SERVICE may name."""
     q = parse(text, prefixes)
-    t = Translator(graph)
+    t = translator(graph, q, services)
     if q.form == "SELECT":
         return t.select(q).df
     if q.form == "ASK":
@@ -576,11 +669,18 @@ def query(graph: Graph, text: str, prefixes: dict | None = None) -> DataFrame:
     for v in (x.name for x in q.describe if isinstance(x, Var)):
         found = t.pattern(q.where).df.where(_q(v)["k"] != "literal").select(_q(v)["lex"].alias("node"))
         nodes = nodes.unionByName(found)
-    return graph.triples().join(nodes.distinct(), F.col("s") == F.col("node"), "left_semi")
+    return t.graph.triples().join(nodes.distinct(), F.col("s") == F.col("node"), "left_semi")
+
+
+def ask(graph: Graph, text: str, prefixes: dict | None = None, services: dict[str, Graph] | None = None) -> bool:
+    q = parse(text, prefixes)
+    return not translator(graph, q, services).pattern(q.where).df.limit(1).isEmpty()
 
 
-def ask(graph: Graph, text: str, prefixes: dict | None = None) -> bool:
-    return not Translator(graph).pattern(parse(text, prefixes).where).df.limit(1).isEmpty()
+def federated_query(graphs: list[Graph], text: str, prefixes: dict | None = None) -> DataFrame:
+    """The query on each graph by itself: rows of SELECT, CONSTRUCT and DESCRIBE one after the other, ASK if any says so."""
+    found = reduce(DataFrame.unionByName, (query(g, text, prefixes) for g in graphs))
+    return found.agg(F.max("result").alias("result")) if parse(text, prefixes).form == "ASK" else found
 
 
 def plain(df: DataFrame) -> DataFrame:

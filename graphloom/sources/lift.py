@@ -48,12 +48,13 @@ def value(table: str, column: str, kind: str) -> Column:
 
 
 def from_tables(spark: SparkSession, sf_dir: str, tables=("region", "nation", "customer", "supplier", "part", "orders", "lineitem")) -> LiftedGraph:
-    maps, types = {}, {}
+    maps, types, repeated = {}, {}, []
     for name in tables:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         subject = key_iri(name, *KEYS[name])
         types[EX + name.capitalize()] = (df, subject)
+        repeated += [df] * (name in NOT_UNIQUE)
         for column, kind in df.dtypes:
             if kind.replace("timestamp_ntz", "timestamp") in DATATYPES:
                 maps.setdefault(EX + column, []).append((df, subject, value(name, column, kind.replace("timestamp_ntz", "timestamp"))))
-    return LiftedGraph(spark, maps, types, functional=not NOT_UNIQUE & set(tables))
+    return LiftedGraph(spark, maps, types, repeated)

@@ -23,7 +23,8 @@ FORMATS = ("turtle", "ntriples", "nquads", "rdfxml", "jsonld", "trig", "n3")
 SUFFIXES = {"ttl": "turtle", "nt": "ntriples", "nq": "nquads", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "jsonld": "jsonld", "trig": "trig", "n3": "n3"}
 
 _RESOURCE = r"<([^<>\x00-\x20]*)>|(_:[A-Za-z0-9_][A-Za-z0-9_.\-]*)"
-_LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
+# possessive: a long literal must not be walked by recursion
+_LITERAL = r'"((?:[^"\\\n\r]++|\\.)*+)"(?:\^\^<([^<>\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 LINE = rf"^\s*(?:{_RESOURCE})\s*<([^<>\x00-\x20]*)>\s*(?:{_RESOURCE}|{_LITERAL}|(<<\(.*\)>>))\s*(?:{_RESOURCE})?\s*\.\s*(?:#.*)?$"
 
 
@@ -37,21 +38,25 @@ def _unescape(c: Column) -> Column:
 
 
 def from_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """s, p, o, g from a column `value` of N-Triples or N-Quads lines."""
-    part = lambda k: F.regexp_extract("value", LINE, k)
+    """s, p, o, g from a column `value` of N-Triples or N-Quads lines. The expression runs once a line: its groups come as one array."""
     solid = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    good = F.col("value").rlike(LINE)
+    mark = "\x1f"
+    once = F.split(F.regexp_replace("value", LINE, mark.join(f"${k}" for k in range(1, 12))), mark)
+    # a line that holds the mark itself is taken apart group by group
+    apart = F.when(F.col("value").rlike(LINE), F.array(*(F.regexp_extract("value", LINE, k) for k in range(1, 12)))).otherwise(F.array(F.lit("")))
+    cut = solid.select("value", F.when(F.col("value").contains(mark), apart).otherwise(once).alias("f"))
+    good = F.size("f") == 11
     if mode == "lax":
-        solid = solid.where(good)
+        cut = cut.where(good)
     else:
-        checked = F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("bad RDF line: "), F.col("value"))).cast("string"))
-        solid = solid.select(checked.alias("value"))
+        cut = cut.select(F.when(good, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("bad RDF line: "), F.col("value"))).cast("array<string>")).alias("f"))
+    part = lambda k: F.col("f")[k - 1]
     node = lambda a, b: F.when(part(a) != "", part(a)).otherwise(F.when(part(b) != "", part(b)))
     lang = F.lower(part(8))
     dt = F.when(lang != "", LANG_STRING).when(part(7) != "", part(7)).otherwise(XSD + "string")
     triple = F.struct(F.lit("triple").alias("k"), part(9).alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("timestamp").alias("ts"))
     obj = F.when(node(4, 5).isNotNull(), resource(node(4, 5))).when(part(9) != "", triple).otherwise(term("literal", _unescape(part(6)), dt, lang))
-    return solid.select(node(1, 2).alias("s"), part(3).alias("p"), obj.alias("o"), node(10, 11).alias("g"))
+    return cut.select(node(1, 2).alias("s"), part(3).alias("p"), obj.alias("o"), node(10, 11).alias("g"))
 
 
 def parse_xml(text: str, base: str = "", scope: str = "") -> list[tuple[str, str, Term]]:
@@ -274,19 +279,86 @@ def _escaped(c: Column) -> Column:
     return out
 
 
-def to_lines(df: DataFrame) -> DataFrame:
-    """value: N-Triples lines (N-Quads where there is a column g)."""
-    node = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
-    o = F.col("o")
+def _node_text(c: Column) -> Column:
+    return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+
+def _term_text(o: Column) -> Column:
+    """A term as N-Triples and Turtle write it."""
     quoted = F.concat(F.lit('"'), _escaped(o["lex"]), F.lit('"'))
     lit = F.when(o["lang"] != "", F.concat(quoted, F.lit("@"), o["lang"])).when(o["dt"].isin("", XSD + "string"), quoted).otherwise(F.concat(quoted, F.lit("^^<"), o["dt"], F.lit(">")))
-    obj = F.when(o["k"] == "literal", lit).when(o["k"] == "triple", o["lex"]).otherwise(node(o["lex"]))
-    graph = [F.when(F.col("g").isNotNull(), node(F.col("g")))] if "g" in df.columns else []
-    return df.select(F.concat_ws(" ", node(F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), obj, *graph, F.lit(".")).alias("value"))
+    return F.when(o["k"] == "literal", lit).when(o["k"] == "triple", o["lex"]).otherwise(_node_text(o["lex"]))
+
+
+def to_lines(df: DataFrame) -> DataFrame:
+    """value: N-Triples lines (N-Quads where there is a column g)."""
+    graph = [F.when(F.col("g").isNotNull(), _node_text(F.col("g")))] if "g" in df.columns else []
+    return df.select(F.concat_ws(" ", _node_text(F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), _term_text(F.col("o")), *graph, F.lit(".")).alias("value"))
 
 
-def write_rdf(df: DataFrame, path: str, compression: str = "none") -> None:
-    to_lines(df).write.option("compression", compression).text(path)
+def to_blocks(df: DataFrame) -> DataFrame:
+    """value: a Turtle block for each subject, with full IRIs, so that blocks may go to any file."""
+    pairs = F.concat(F.lit("<"), F.col("p"), F.lit("> "), _term_text(F.col("o")))
+    grouped = df.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(pairs)), " ;\n    ").alias("rest"))
+    return grouped.select(F.concat(_node_text(F.col("s")), F.lit(" "), F.col("rest"), F.lit(" .")).alias("value"))
+
+
+def _xml_text(c: Column) -> Column:
+    out = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def to_xml_elements(df: DataFrame) -> DataFrame:
+    """value: an rdf:Description for each triple whose predicate ends in a name."""
+    name, o = r"[A-Za-z_][A-Za-z0-9_.-]*$", F.col("o")
+    local = F.regexp_extract("p", f"({name})", 1)
+    space = F.regexp_replace("p", name, "")
+    about = lambda c, attr: F.when(c.startswith("_:"), F.concat(F.lit(' rdf:nodeID="'), F.expr("substring(%s, 3)" % attr), F.lit('"')))
+    subject = F.coalesce(about(F.col("s"), "s"), F.concat(F.lit(' rdf:about="'), _xml_text(F.col("s")), F.lit('"')))
+    target = F.coalesce(about(o["lex"], "o.lex"), F.concat(F.lit(' rdf:resource="'), _xml_text(o["lex"]), F.lit('"')))
+    kind = F.when(o["lang"] != "", F.concat(F.lit(' xml:lang="'), o["lang"], F.lit('"'))).when(o["dt"].isin("", XSD + "string"), F.lit("")).otherwise(F.concat(F.lit(' rdf:datatype="'), o["dt"], F.lit('"')))
+    head = F.concat(F.lit("<n:"), local, F.lit(' xmlns:n="'), _xml_text(space), F.lit('"'))
+    arc = F.when(o["k"] == "literal", F.concat(head, kind, F.lit(">"), _xml_text(o["lex"]), F.lit("</n:"), local, F.lit(">"))).otherwise(F.concat(head, target, F.lit("/>")))
+    checked = F.when((local == "") | (o["k"] == "triple"), F.raise_error(F.concat(F.lit("RDF/XML can't write "), "p")).cast("string")).otherwise(arc)
+    return df.select(F.concat(F.lit("<rdf:Description"), subject, F.lit(">"), checked, F.lit("</rdf:Description>")).alias("value"))
+
+
+def to_json_nodes(df: DataFrame) -> DataFrame:
+    """value: a JSON-LD node object for each triple."""
+    text, o = (lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)), F.col("o")
+    kind = F.when(o["lang"] != "", F.concat(F.lit(', "@language": '), text(o["lang"]))).when(o["dt"].isin("", XSD + "string"), F.lit("")).otherwise(F.concat(F.lit(', "@type": '), text(o["dt"])))
+    literal = F.concat(F.lit('{"@value": '), text(o["lex"]), kind, F.lit("}"))
+    resource_ = F.concat(F.lit('{"@id": '), text(o["lex"]), F.lit("}"))
+    value = F.when(o["k"] == "literal", literal).when(o["k"] == "triple", F.raise_error(F.lit("JSON-LD can't write a triple as a term")).cast("string")).otherwise(resource_)
+    return df.select(F.concat(F.lit('{"@id": '), text(F.col("s")), F.lit(", "), text(F.col("p")), F.lit(": ["), value, F.lit("]}")).alias("value"))
+
+
+def _documents(items: DataFrame, per_document: int, begin: str, between: str, end: str) -> DataFrame:
+    """value, document: the items in whole documents of about per_document each."""
+    parts = max(1, -(-items.count() // per_document))
+    placed = items.withColumn("document", F.pmod(F.xxhash64("value"), F.lit(parts)))
+    joined = placed.groupBy("document").agg(F.array_join(F.collect_list("value"), between).alias("value"))
+    return joined.select(F.concat(F.lit(begin), "value", F.lit(end)).alias("value"), "document")
+
+
+def write_rdf(df: DataFrame, path: str, compression: str = "none", kind: str = "ntriples", per_document: int = 20_000) -> None:
+    """Files of a format: lines of N-Triples and N-Quads and blocks of Turtle as they come; RDF/XML and JSON-LD in documents of about per_document triples, a file each."""
+    if kind in ("ntriples", "nquads"):
+        out = to_lines(df)
+    elif kind == "turtle":
+        out = to_blocks(df.select("s", "p", "o"))
+    elif kind == "rdfxml":
+        out = _documents(to_xml_elements(df), per_document, f'<rdf:RDF xmlns:rdf="{RDF}">\n', "\n", "\n</rdf:RDF>")
+    elif kind == "jsonld":
+        out = _documents(to_json_nodes(df), per_document, '{"@graph": [\n', ",\n", "\n]}")
+    else:
+        raise RdfSyntaxError(f"writing {kind} isn't supported")
+    if "document" in out.columns:
+        out.repartition("document").write.option("compression", compression).partitionBy("document").text(path)
+    else:
+        out.write.option("compression", compression).text(path)
 
 
 def to_turtle(df: DataFrame, prefixes: dict[str, str] | None = None, most: int = 100_000) -> str:

@@ -87,8 +87,9 @@ def test_revalidation_of_a_stream(spark, tmp_path):
 
     schema = shacl.Schema.of(shacl.Shape("urn:s", Pred("http://e/age"), (("subjectsOf", "http://e/age"),), (shacl.Constraint("maxInclusive", (literal(10),)),)))
     first, second = rdf.from_text(spark, P + ":a :age 5 . :b :age 50 ."), rdf.from_text(spark, P + ":a :age 15 . :c :age 1 .")
-    _, found = revalidate.revalidate(first, second.triples(), schema)
+    _, looked, found = revalidate.revalidate(first, second.triples(), schema)
     assert [(r.focus[-1], r.value) for r in found.collect()] == [("a", "15")]
+    assert sorted(r.focus[-1] for r in looked.collect()) == ["a", "c"]
     base = f"file://{tmp_path}"
     first.triples().coalesce(1).write.parquet(f"{base}/in")
     second.triples().coalesce(1).write.mode("append").parquet(f"{base}/in")
@@ -101,6 +102,65 @@ def test_revalidation_of_a_stream(spark, tmp_path):
     assert {(r.focus[-1], r.value) for r in spark.read.parquet(f"{base}/out").collect()} == {("b", "50"), ("a", "15")}
 
 
+def _results(df):
+    return sorted(tuple(r) for r in df.select("focus", "component", "value").collect())
+
+
+def test_changes_some_steps_away_are_seen(spark):
+    from graphloom.operators.graph import FrameGraph
+    from graphloom.operators.paths import Alt, Inv, Plus, Seq
+    from graphloom.sources import rdf
+
+    e = "http://e/"
+    S, C, p = shacl.Shape, shacl.Constraint, lambda n: Pred(e + n)
+    schema = shacl.Schema.of(
+        S("urn:far", Seq((p("k"), p("z"), p("n"))), (("subjectsOf", e + "k"),), (C("maxInclusive", (literal(10),)),)),
+        S("urn:node", None, (("class", e + "T"),), (C("property", ("urn:ref",)),)),
+        S("urn:ref", Inv(p("owns")), (), (C("node", ("urn:old",)),)),
+        S("urn:old", p("age"), (), (C("minCount", (1,)), C("class", (e + "Age",)))),
+    )
+    up = shacl.Schema.of(S("urn:up", Plus(Alt((p("in"), p("at")))), (("objectsOf", e + "owns"),), (C("nodeKind", ("IRI",)),)))
+    first = rdf.from_text(spark, P + ":a :k :b . :b :z :c . :t a :T . :o :owns :t . :o2 :owns :t2 . :t2 a :T . :t2 :in :x . :o2 :age :y . :y a :Age . :q :k :r .")
+    for own, text, changed in ((schema, ":c :n 50 . :unused :thing 1 .", {"a"}), (schema, ":o :age :w . :w a :Other . :sub a :T .", {"t", "sub"}), (up, ":x :at 5 .", {"t2"})):
+        batch = rdf.from_text(spark, P + text).triples()
+        both, looked, found = revalidate.revalidate(first, batch, own)
+        both = FrameGraph(spark.createDataFrame(both.triples().collect(), both.triples().schema))
+        seen = {r.focus for r in looked.collect()}
+        assert {e + x for x in changed} <= seen and e + "q" not in seen, text
+        before, after = (_results(shacl.validate(g, own)) for g in (first, both))
+        assert sorted([r for r in before if r[0] not in seen] + _results(found)) == after, text
+    # a shape that looks at everything is checked on everything
+    closed = shacl.Schema.of(S("urn:s", None, (("class", e + "T"),), (C("sparql", ("SELECT $this WHERE { $this a <http://e/T> }",)),)))
+    assert revalidate.affected(first, first.triples(), closed) is None
+
+
+def test_a_focus_that_becomes_conforming(spark, tmp_path):
+    from graphloom.sources import rdf
+
+    schema = shacl.Schema.of(shacl.Shape("urn:s", Pred("http://e/name"), (("class", "http://e/T"),), (shacl.Constraint("minCount", (1,)),)))
+    base = f"file://{tmp_path}"
+    for k, text in enumerate((":a a :T . :b a :T .", ":a :name 'x' .")):
+        rdf.from_text(spark, P + text).triples().coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rdf.from_text(spark, P + text).triples().schema).parquet(f"{base}/in")
+        for again in range(2 if k else 1):
+            if again:
+                # the last batch runs once more, as after a failure
+                import pathlib
+
+                last = sorted(pathlib.Path(tmp_path, "cp", "commits").glob("[0-9]*"))[-1]
+                last.unlink()
+                last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+            q = revalidate.start(stream, f"{base}/store", schema, f"{base}/out", f"{base}/cp")
+            try:
+                q.processAllAvailable()
+            finally:
+                q.stop()
+    looked, found = spark.read.parquet(f"{base}/out-foci"), spark.read.parquet(f"{base}/out")
+    assert sorted((r.focus[-1], r.batch) for r in looked.collect()) == [("a", 0), ("a", 1), ("b", 0)]
+    assert [r.focus[-1] for r in revalidate.current(looked, found).collect()] == ["b"]
+    assert spark.read.parquet(f"{base}/store").count() == 3
+
+
 def test_windows_of_a_stream(spark, tmp_path):
     rows = [("2024-01-01 00:01:00", "x"), ("2024-01-01 00:02:00", "x"), ("2024-01-01 00:11:00", "y")]
     df = spark.createDataFrame(rows, "t string, k string").selectExpr("cast(t as timestamp) t", "k")
