@@ -12,6 +12,7 @@ with one doc_id are ordered by checksum, length and ids; an empty table gives no
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -49,8 +50,8 @@ class Encoder:
     around a single line feed between two others. A text is cut there into units; a unit that begins
     a line keeps the line feed. Each distinct unit is encoded once: a run of letters is one piece of
     the pattern, so it goes straight to the library's model, and so does one before a single
-    punctuation mark; other units go through the whole pipeline. A text with other white space is
-    encoded as a whole.
+    punctuation mark; other units go through the whole pipeline. A text with other white space, or with one
+    of the vocabulary's added tokens (which the library finds anywhere in a text), is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -58,9 +59,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(added)
+        self.tokens = self.model.tokenize
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.memo: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.line = self._raw(self._plain("\n"))
@@ -74,28 +78,32 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _word(self, word: str) -> bytes:
-        """A run of letters, with the space before it where there is one."""
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        """A run of letters, with the space before it where there is one. ASCII letters stand for themselves."""
+        mapped = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokens(mapped)]).tobytes()
 
     def _learn(self, units: list[str]) -> None:
         if len(self.memo) + len(units) > MEMO_UNITS:
             self.memo.clear()
-        memo, rest = self.memo, []
+            self.odd.clear()
+        memo, rest, tokens, space = self.memo, [], self.tokens, self.space
         for u in units:
+            if u.isalpha() and u.isascii():
+                memo[u] = array("I", [t.id for t in tokens(space + u)]).tobytes()
+                continue
             first = u[:1] == "\n"
             word = u[1:] if first else u
             if not word or word[0].isspace() or word[-1].isspace():
                 self.odd.add(u)
                 memo[u] = b""
                 continue
-            lead, space = (self.line, "") if first else (b"", " ")
+            lead, gap = (self.line, "") if first else (b"", " ")
             if word.isalpha():
-                memo[u] = lead + self._word(space + word)
+                memo[u] = lead + self._word(gap + word)
             elif word[-1] in self.marks and word[:-1].isalpha():
-                memo[u] = lead + self._word(space + word[:-1]) + self.marks[word[-1]]
+                memo[u] = lead + self._word(gap + word[:-1]) + self.marks[word[-1]]
             else:
-                rest.append((u, lead, space + word))
+                rest.append((u, lead, gap + word))
         if rest:
             for (u, lead, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, _, w in rest], add_special_tokens=False)):
                 memo[u] = lead + array("I", e.ids).tobytes()
@@ -103,6 +111,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null is empty. Units are cut and made distinct by Arrow, ids are put together by numpy."""
         texts = pc.fill_null(texts, "")
+        special = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
         led = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
         cut = pc.split_pattern(led, " ")
         coded = cut.flatten().dictionary_encode()
@@ -128,7 +137,7 @@ class Encoder:
         odd = np.concatenate([[0], np.cumsum(whole)])[edges]
         out = []
         for k in range(len(texts)):
-            if odd[k + 1] > odd[k]:
+            if special[k] or odd[k + 1] > odd[k]:
                 out.append(np.array(self._plain(texts[k].as_py()), "<u4"))
             else:
                 out.append(ids[ends[k] + 1 : ends[k + 1]])

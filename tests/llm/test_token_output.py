@@ -12,7 +12,6 @@ from graphloom.llm import rans, token_output
 
 PATH = public_tokenizers.path(token_output.TOKENIZER)
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 ENCODER = token_output.Encoder(PATH)
 
 
@@ -36,6 +35,14 @@ def test_units():
     assert encoded([None, "a"]) == [b"", plain("a")]
 
 
+def test_added_tokens_are_the_librarys():
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}b", f"{end} a", f"a {end}", f"a\n{end}\nb", f"{end}{end}", f" {end}  {end} ", "<|endof text|>", f"x, {end}. y", f"{end[:-1]} {end[1:]}"]
+    assert 50256 in ENCODER.encode(pa.array([f"a {end} b"]))[0].tolist()
+    assert encoded(texts) == [plain(t) for t in texts]
+    assert encoded([" ".join(texts), "a b"]) == [plain(" ".join(texts)), plain("a b")]
+
+
 def coder_of(ids, size=300):
     return rans.Table.from_counts(np.bincount(ids, minlength=size))
 
