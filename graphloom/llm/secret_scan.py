@@ -5,11 +5,17 @@ span touches and that look like an encoding (digits mixed with letters); the enc
 alphabet that holds the run. '=' only ends a run, as padding, so the value of NAME=value is a run of its own.
 A run that no alphabet holds is cut: at the characters that base64 lacks, and at those that
 base64url lacks; the parts of LEAST characters or more
-are candidates, so two of one run may overlap. Under the hypothesis that its characters are drawn evenly and independently from that
-alphabet, three p-values are computed: chi-squared evenness, runs above and below the middle, and
-serial correlation; their Bonferroni minimum is the candidate's p-value. Within each length stratum
-the Benjamini-Hochberg step-up over all candidates of the corpus rejects what isn't random; what is
-left is reported. p-values are rounded up to a fixed grid, so the step-up needs one count for each
+are candidates, so two of one run may overlap.
+
+What is controlled is the share of false spans among those reported, so the hypothesis to be rejected is that a
+candidate is natural: an identifier made of words. Three tests look at it, given how letters occur
+in all documents (`Natural`, counted over the whole corpus): chi-squared evenness of its letters over those of its encoding, which
+is lower the more random they are; runs of character classes, of which a random string has more; and the
+serial correlation of vowels and consonants, which alternate in words. Each test's score is weighted by
+the root of what it has counted; their sum gives the candidate's p-value. A candidate that isn't even in its own alphabet, or whose runs or serial
+correlation differ from chance there (`battery`, at GUARD), has p-value 1. Within each length
+stratum the Benjamini-Hochberg step-up over all candidates of the corpus reports those that it
+rejects. p-values are rounded up to a fixed grid, so the step-up needs one count for each
 stratum and grid point, whatever the number of candidates: that table is bounded by STRATA x GRID.
 
 Defined results: a null text counts as empty: no spans, base_sha256 of the empty string; rows are
@@ -21,8 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, table
+from .token_output import pieces
 
 # The base patterns of the contract; letters of `assign` count in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -49,14 +59,116 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-_CODES = [(name, {c: i for i, c in enumerate(a)}, re.compile(f"[{re.escape(a)}]+")) for name, a in ALPHABETS]
+_CODES = [(a, {c: i for i, c in enumerate(a)}, re.compile(f"[{re.escape(a)}]+")) for name, a in ALPHABETS]
 #: The lower ends of the length strata.
 STRATA = (20, 24, 32, 40, 64, 128, 512)
-ALPHA = 0.01
+#: The share of false spans among the reported ones that is allowed for, in each stratum.
+ALPHA = 0.05
+#: Below this p-value a candidate isn't random in its own alphabet.
+GUARD = 0.001
 #: The grid of -log10 p: steps of 0.01 up to 40; p-values are rounded up to it.
 GRID = 4000
 
 
+# Per cent of English letters from a to z; they count as PRIOR_LETTERS letters beside the corpus's own.
+ENGLISH = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+PRIOR_LETTERS, PRIOR_TURNS, PRIOR_LENGTH = 5000, 0.68, 4.7
+VOWELS = "aeiouy"
+_PAIRS, _TURNS, _WORDS = 26, 27, 28
+_NORMAL = NormalDist()
+
+
+@dataclass(frozen=True)
+class Natural:
+    """How words of the corpus are: shares of the letters, how often neighbours differ as vowel and consonant, mean length."""
+
+    letters: tuple[float, ...]
+    turns: float
+    length: float
+
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> Natural:
+        total = PRIOR_LETTERS + sum(counts.get(k, 0) for k in range(26))
+        words = PRIOR_LETTERS / PRIOR_LENGTH
+        pairs = PRIOR_LETTERS - words
+        english = [x / sum(ENGLISH) for x in ENGLISH]
+        letters = tuple((PRIOR_LETTERS * x + counts.get(k, 0)) / total for k, x in enumerate(english))
+        return cls(letters, (PRIOR_TURNS * pairs + counts.get(_TURNS, 0)) / (pairs + counts.get(_PAIRS, 0)), total / (words + counts.get(_WORDS, 0)))
+
+
+def learn(docs: DataFrame) -> Natural:
+    """Letters, neighbours and words (runs of ASCII letters) of all documents, but for what is long enough for a candidate; 29 rows reach the driver."""
+    vowel, of_run = np.zeros(256, bool), np.zeros(256, bool)
+    vowel[list(VOWELS.encode())] = True
+    of_run[list(f"{string.ascii_letters}{string.digits}+/_-".encode())] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(29, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text", 4 << 20):
+                texts = part.column("text").drop_null()
+                joined_ = np.frombuffer(b" ".join(x.as_buffer().to_pybytes() for x in texts), np.uint8)
+                low = joined_ | 32
+                # where runs of a candidate's characters begin and end
+                steps = np.flatnonzero(np.diff(np.concatenate([[False], of_run[joined_], [False]]).astype(np.int8)))
+                begin, end = steps[::2], steps[1::2]
+                short = np.ones(len(joined_), bool)
+                for a, b in zip(begin[end - begin >= LEAST], end[end - begin >= LEAST]):
+                    short[a:b] = False
+                letter = (low >= 97) & (low <= 122) & short
+                total[:26] += np.bincount(low[letter] - 97, minlength=26)
+                if len(low):
+                    both = letter[1:] & letter[:-1]
+                    v = vowel[low]
+                    total[_PAIRS] += both.sum()
+                    total[_TURNS] += (both & (v[1:] != v[:-1])).sum()
+                    total[_WORDS] += letter.sum() - both.sum()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["cell", "n"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    return Natural.of({r["cell"]: r["n"] for r in rows})
+
+
+def _at_least(hits: int, n: int, p: float) -> float:
+    """P(binomial(n, p) >= hits); beyond 400 trials by the normal distribution."""
+    if hits <= 0:
+        return 1.0
+    if n > 400:
+        return 0.5 * math.erfc((hits - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p)))
+    return min(1.0, sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(hits, n + 1)))
+
+
+def _score(p: float) -> float:
+    return -_NORMAL.inv_cdf(min(1 - 1e-12, max(1e-12, p)))
+
+
+def natural_p(body: str, alphabet: str, natural: Natural) -> float:
+    """The p-value of the hypothesis that the run is made of natural words: small if it is more like chance."""
+    codes = [ord(c) - 97 for c in body.lower() if "a" <= c <= "z"]
+    n, tests = len(codes), []
+    held = sorted({ord(c) - 97 for c in alphabet.lower() if "a" <= c <= "z"})
+    if n >= 4:
+        q = np.array([natural.letters[i] for i in held])
+        q = q / q.sum()
+        s2, s3, k = float((q**2).sum()), float((q**3).sum()), len(held)
+        chi = float((np.bincount(codes, minlength=26) ** 2).sum()) * k / n - n
+        mean = k * (1 - s2) + n * (k * s2 - 1)
+        var = 2 * (n - 1) / n * k * k * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+        # a scaled chi-squared of that mean and variance, after Wilson and Hilferty
+        degrees = 2 * mean * mean / var
+        tests.append((n, -((max(chi, 0.0) / mean) ** (1 / 3) - (1 - 2 / (9 * degrees))) / math.sqrt(2 / (9 * degrees))))
+    kinds = ["lu"[c.isupper()] if c.isalpha() else "d" if c.isdigit() else "s" for c in body]
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:]))
+    mixed = any(c.islower() for c in alphabet) and any(c.isupper() for c in alphabet)
+    tests.append((len(body) - 1, _score(_at_least(changes, len(body) - 1, min(0.8, (2 if mixed else 1) / natural.length)))))
+    pairs = [(x in VOWELS) != (y in VOWELS) for x, y in zip(body.lower(), body.lower()[1:]) if "a" <= x <= "z" and "a" <= y <= "z"]
+    if pairs:
+        tests.append((len(pairs), _score(_at_least(len(pairs) - sum(pairs), len(pairs), 1 - natural.turns))))
+    z = sum(math.sqrt(w) * x for w, x in tests) / math.sqrt(sum(w for w, _ in tests))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -91,14 +203,14 @@ def battery(codes: np.ndarray, size: int) -> tuple[float, float, float]:
     return even, run, serial
 
 
-def infer(run: str) -> tuple[np.ndarray, int] | None:
-    """Codes and alphabet size of the run's encoding; none if it isn't like one."""
+def infer(run: str) -> tuple[np.ndarray, str] | None:
+    """Codes and alphabet of the run's encoding; none if it isn't like one."""
     body = run.rstrip("=")
     if len(body) < LEAST or not any(c.isdigit() for c in body) or body.isdigit():
         return None
-    for _, codes, whole in _CODES:
+    for alphabet, codes, whole in _CODES:
         if whole.fullmatch(body):
-            return np.array([codes[c] for c in body]), len(codes)
+            return np.array([codes[c] for c in body]), alphabet
     return None
 
 
@@ -129,17 +241,24 @@ def parts(run: str) -> list[tuple[int, int]]:
     return sorted({m.span() for p in PARTS for m in p.finditer(run)})
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+def p_value(run: str, codes: np.ndarray, alphabet: str, natural: Natural) -> float:
+    """1 if the run isn't random in its alphabet, else how well it goes with natural words."""
+    if min(1.0, 3 * min(battery(codes, len(alphabet)))) < GUARD:
+        return 1.0
+    return natural_p(run.rstrip("="), alphabet, natural)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], natural: Natural) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, grid point) of the runs that are tested."""
     out = []
     for m in CANDIDATE.finditer(text):
         for a, b in parts(m[0]):
-            known = infer(m[0][a:b])
+            run = m[0][a:b]
+            known = infer(run)
             a, b = m.start() + a, m.start() + b
             if known is None or any(s < b and a < e for s, _, e in base):
                 continue
-            p = min(1.0, 3 * min(battery(*known)))
-            out.append((a, b, stratum_of(len(known[0])), grid_of(p)))
+            out.append((a, b, stratum_of(len(known[0])), grid_of(p_value(run, *known, natural))))
     return out
 
 
@@ -150,7 +269,7 @@ def joined(spans) -> str:
 _FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base string, tested array<struct<start:int,end:int,stratum:int,point:int>>"
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, natural: Natural) -> DataFrame:
     """Base spans and tested candidates of each document."""
     tested = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "stratum", "point")]))
 
@@ -161,7 +280,7 @@ def find(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 base = base_spans(text)
                 kinds = Counter(k for _, k, _ in base)
-                rows.append((kinds[0], kinds[1], kinds[2], joined(base), [dict(zip(("start", "end", "stratum", "point"), c)) for c in candidates(text, base)]))
+                rows.append((kinds[0], kinds[1], kinds[2], joined(base), [dict(zip(("start", "end", "stratum", "point"), c)) for c in candidates(text, base, natural)]))
             n, a, h, b, c = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, a, h)), pa.array(b, pa.string()), pa.array(c, tested)], ["doc_id", "n_assign", "n_access", "n_hex", "base", "tested"])
 
@@ -184,12 +303,12 @@ def rejected_from(counts: dict[tuple[int, int], int], alpha: float = ALPHA) -> l
 
 def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of each document."""
-    found = stage(find(docs), "secrets")
+    found = stage(find(docs, learn(docs)), "secrets")
     # at most one row for each stratum and grid point
     rows = found.select(F.explode("tested").alias("t")).groupBy("t.stratum", "t.point").count().collect()
     least = rejected_from({(r["stratum"], r["point"]): r["count"] for r in rows}, alpha)
     limit = F.array(*map(F.lit, least))
-    kept = F.filter("tested", lambda t: t["point"] < F.get(limit, t["stratum"]))
+    kept = F.filter("tested", lambda t: t["point"] >= F.get(limit, t["stratum"]))
     entry = lambda start, kind, text: F.struct(start.cast("int").alias("start"), kind.cast("int").alias("kind"), text.alias("span"))
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: entry(F.split(x, ":")[1], F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]) - 1, x))
     random = F.transform("kept", lambda t: entry(t["start"], F.lit(len(KINDS) - 1), F.concat_ws(":", F.lit(KINDS[-1]), t["start"].cast("string"), t["end"].cast("string"))))

@@ -66,7 +66,7 @@ def test_step_up_is_benjamini_hochberg():
 def test_secrets_module_tokens():
     runs = [secrets.token_urlsafe(48) for _ in range(200)]
     known = [s.infer(r) for r in runs]
-    passed = [min(1.0, 3 * min(s.battery(*k))) > 0.001 for k in known if k]
+    passed = [min(1.0, 3 * min(s.battery(k[0], len(k[1])))) > 0.001 for k in known if k]
     assert len(passed) >= 190 and np.mean(passed) > 0.95
 
 
@@ -84,9 +84,72 @@ def test_random_values_after_names_are_found(spark):
 
 def test_only_padding_belongs_to_a_run():
     key = "aB3dE6gH9jK2mN5pQ8sT"
-    spans = lambda t: [(a, b) for a, b, *_ in s.candidates(t, s.base_spans(t))]
+    natural = s.Natural.of({})
+    spans = lambda t: [(a, b) for a, b, *_ in s.candidates(t, s.base_spans(t), natural)]
     assert spans(f"{key}== ends") == [(0, 22)]
     assert spans(f"K={key}=") == [(2, 23)]
     assert spans(f"{key}={key}") == [(0, 20), (21, 41)]
     assert spans("=" * 50 + key) == [(50, 70)]
     assert (6, 26) in spans(f"a_b-c/{key}")
+
+
+WORDS = """account manager session handler default value index buffer stream reader writer config loader parser network request response timeout retry policy
+message queue worker thread cache entry update delete select table column record batch result warning level report export service client proxy gateway
+router switch device driver module package version release build sample document folder image player window button label border margin widget layout render""".split()
+
+
+def identifiers(n, rng):
+    """Identifiers of words and digits, in the usual spellings."""
+    out = []
+    for k in range(n):
+        words, number = rng.choice(WORDS, rng.integers(3, 7), replace=False), str(rng.integers(1, 10_000))
+        out.append(("".join(w.title() for w in words), "_".join(words) + "_", "".join(words).upper(), "-".join(words), words[0] + "".join(w.title() for w in words[1:]))[k % 5] + number)
+    return out
+
+
+def test_power_and_false_discoveries(spark):
+    """Random keys of each encoding and length beside three times as many identifiers."""
+    rng = np.random.default_rng(21)
+    lengths, each = (20, 24, 32, 40, 64), 25
+    keys = [(name, n, "".join(rng.choice(list(a), n))) for name, a in s.ALPHABETS for n in lengths for _ in range(each)]
+    rows = [(k, f"see {x[2]} there") for k, x in enumerate(keys)] + [(100_000 + k, f"call {x} there") for k, x in enumerate(identifiers(3 * len(keys), rng))]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x] for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    false = sum(bool(v) for k, v in got.items() if k >= 100_000)
+    found = sum(bool(v) for k, v in got.items() if k < 100_000)
+    assert false <= s.ALPHA * (false + found)
+    power = {n: np.mean([bool(got[k]) for k, x in enumerate(keys) if x[1] == n]) for n in lengths}
+    assert power[20] >= 0.45 and power[24] >= 0.55 and power[32] >= 0.75 and power[40] >= 0.85 and power[64] >= 0.97, power
+
+
+def test_identifiers_alone_are_not_reported(spark):
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(f"x {a} y" for a in identifiers(3000, rng)))
+    assert sum(r.n_random for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()) <= 3
+
+
+def test_words_are_counted_over_all_documents(spark):
+    rows = [(1, "Ab e-c"), (2, None), (3, "zz é a1a"), (4, ""), (5, "=" + "k7" * 10)] * 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = s.learn(df)
+    counts = {0: 3, 1: 1, 2: 1, 4: 1, 25: 2, s._PAIRS: 2, s._TURNS: 1, s._WORDS: 6}
+    assert got == s.Natural.of({k: 4000 * n for k, n in counts.items()})
+
+
+def test_natural_p_is_about_uniform_or_more_on_its_own_model():
+    """Runs drawn from the model of letters and turns are rarely taken for chance."""
+    natural = s.Natural.of({})
+    rng = np.random.default_rng(2)
+    vowel = np.array([c in s.VOWELS for c in string.ascii_lowercase])
+    q = np.array(natural.letters)
+    p = []
+    for _ in range(1500):
+        run, last = [], False
+        for _ in range(8):
+            word = []
+            for _ in range(5):
+                last = (not last) if rng.random() < natural.turns else last
+                w = q * (vowel == last)
+                word.append(string.ascii_lowercase[rng.choice(26, p=w / w.sum())])
+            run.append("".join(word).title())
+        p.append(s.natural_p("".join(run) + "1", s.ALPHABETS[5][1], natural))
+    assert (np.array(p) < 0.05).mean() < 0.06 and (np.array(p) < 0.01).mean() < 0.015
