@@ -20,12 +20,14 @@ MIN_SIMILARITY = 0.8
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (as in local tests) a temporary folder is set.
+    Only where the session names none and runs in one process (as in local tests) a temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
