@@ -4,8 +4,9 @@ Each document has a key -ln(u) / w: u from a hash of doc_id and text, w its qual
 takes whole epochs first, then documents by ascending key until the words before a document's middle
 reach the rest of its target. Keys are cut into BUCKETS ranges, whose word counts are summed before any shuffle of
 documents; a prefix sum over a source's ranges (BUCKETS rows at most) finds the range in which the
-budget ends, and only that range's documents are sorted. So a source with a third of all rows costs
-one task a BUCKETS-th part of them.
+budget ends, and only that range's documents are sorted. The ranges are even in the mean of the distributions that keys have under
+each of SCALES (weights a factor of 2 apart), so whatever the weights of a source between the least and the greatest of
+them, no range is expected to hold more than 2 * len(SCALES) / BUCKETS, under a hundredth, of it.
 
 Targets share all words by weights 1, 2, 3 (sources by code point, null last, repeating); none is
 above CAP times its source's words, and what is above goes to the others by weight.
@@ -25,7 +26,9 @@ from .common import WORD, boxed, stage, sum_long, table, text_of, unboxed
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-BUCKETS = 1024
+BUCKETS = 4096
+#: Weights for which the ranges of keys are kept even.
+SCALES = tuple(2.0**k for k in range(-8, 7))
 #: A table of sources is broadcast up to so many rows; beyond, the join shuffles and adaptive execution splits hot sources.
 BROADCAST_ROWS = 50_000
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -51,7 +54,8 @@ def _keyed(docs: DataFrame, weight: Column | None) -> dict[str, Column]:
 
 def _bucket() -> Column:
     # rises with the key, which has no upper end
-    return F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("mix_key"))) * BUCKETS)).cast("int")
+    mean = sum((F.lit(1.0) - F.exp(F.col("mix_key") * F.lit(-w)) for w in SCALES), F.lit(0.0)) / len(SCALES)
+    return F.least(F.lit(BUCKETS - 1), F.floor(mean * BUCKETS)).cast("int")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:

@@ -67,3 +67,25 @@ def test_heavier_documents_come_first(spark):
     got = mixing.mix(df, weight=F.when(F.col("doc_id") % 4 < 2, 5.0).otherwise(0.5)).where("source = 'a' and times = 1")
     heavy = got.where("doc_id % 4 = 0").count()
     assert heavy > 0.75 * 500 > got.where("doc_id % 4 = 2").count()
+
+
+def test_ranges_of_keys_are_even_whatever_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).selectExpr("id as doc_id", "'some words here' as text", "'s' as source")
+    for weight in (F.lit(0.1), F.lit(0.013), F.lit(1.0), F.lit(30.0), F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(0.9)):
+        keyed = docs.select("doc_id", *(c.alias(n) for n, c in mixing._keyed(docs, weight).items())).withColumn("b", mixing._bucket())
+        assert keyed.groupBy("b").count().agg(F.max("count")).first()[0] < 400
+    # ranges rise with the key
+    ends = keyed.groupBy("b").agg(F.min("mix_key").alias("lo"), F.max("mix_key").alias("hi")).orderBy("b").collect()
+    assert all(x.hi < y.lo for x, y in zip(ends, ends[1:]))
+
+
+def test_low_weights_against_sql(spark):
+    """A source of texts full of symbols, whose budget ends late: the weights are LEAST_WEIGHT."""
+    rows = [(i, "#$% " * (i % 9 + 1) + "x", "low") for i in range(900)] + [(5000 + i, "plain words of a text " * 4, "high") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    assert sorted(con.execute(mixing.ORACLE).fetchall(), key=str) == sorted((tuple(r) for r in mixing.mix(df).collect()), key=str)
