@@ -1,7 +1,8 @@
 """Operator 3, media columns: TIFF pages in and out of binary columns.
 
-`pages` emits a row for each page of each file; `store` keeps texts as 8-bit samples, ROW_BYTES wide,
-in deflated strips, and `read` gives the payload back from the stored bytes.
+`pages` emits a row for each page of each file; `store` keeps texts as 8-bit samples, ROW_BYTES wide, in one of
+LAYOUTS (strips and tiles, all compressions, with and without a predictor), which the checksum of the
+samples picks; `digests` gives the payload back from the stored bytes, and fails where it can't be read.
 
 Defined results: a null or broken file gives one row, with its error and no pixels (pages before the
 fault are kept); a file without a directory gives none; a null text counts as empty and is stored as
@@ -10,6 +11,7 @@ one row of filling; null and repeated doc_ids are kept row by row; other columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,11 @@ from .common import stage, table
 
 ROW_BYTES = 576
 FILL = 255
+#: Compression, predictor and tile of the stored pages; most are deflated, as that is the smallest and fastest.
+LAYOUTS = (
+    (tiff.DEFLATE, 1, None), (tiff.DEFLATE, 2, None), (tiff.DEFLATE, 1, (16, 192)), (tiff.DEFLATE, 2, (32, 96)),
+    (tiff.DEFLATE, 1, None), (tiff.LZW, 1, None), (tiff.LZW, 2, (16, 288)), (tiff.PACKBITS, 1, None),
+)
 #: Output rows are handed over once they hold so many bytes.
 FLUSH_BYTES = 16 << 20
 
@@ -89,8 +96,8 @@ def pages(files: DataFrame, media: str = "media", carry: tuple[str, ...] = ("doc
     return plain.mapInArrow(run, f"{fields}, {PAGE_FIELDS}").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)), *(n for n, _ in _PAGE_ARROW))
 
 
-def store(docs: DataFrame, compression: int = tiff.DEFLATE) -> DataFrame:
-    """doc_id, n_bytes, media: each whole text, filled up, as a one-page file."""
+def store(docs: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """doc_id, n_bytes, media: each whole text, filled up, as a one-page file; equal texts give equal files."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -100,7 +107,8 @@ def store(docs: DataFrame, compression: int = tiff.DEFLATE) -> DataFrame:
                 height = max(1, -(-len(raw) // ROW_BYTES))
                 image = np.full(height * ROW_BYTES, FILL, np.uint8)
                 image[: len(raw)] = np.frombuffer(raw, np.uint8)
-                yield k, len(raw), tiff.write([image.reshape(height, ROW_BYTES, 1)], compression)
+                compression, predictor, tile = layouts[zlib.crc32(image) % len(layouts)]
+                yield k, len(raw), tiff.write([image.reshape(height, ROW_BYTES, 1)], compression, predictor, tile=tile)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return plain.mapInArrow(lambda b: _batches(rows(b), schema, 2), "doc_id long, n_bytes long, media binary")
@@ -111,6 +119,8 @@ def digests(stored: DataFrame) -> DataFrame:
     sized = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     read = pages(sized, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     tail = F.substring("pixels", -32, 32)
+    broken = F.raise_error(F.concat(F.lit("a stored page can't be read: "), "error"))
+    read = read.withColumn("pixels", F.when(F.col("error").isNull(), F.col("pixels")).otherwise(broken.cast("binary")))
     return read.select("doc_id", "n_bytes", F.length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 

@@ -20,6 +20,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, ST
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
+#: A larger image is an error: what a header claims must not fill a worker's memory.
+MAX_IMAGE_BYTES = 1 << 30
 
 
 class TiffError(ValueError):
@@ -101,7 +103,7 @@ def unpack_lzw(raw: bytes, size: int) -> bytes:
             entry = last + last[:1]
         else:
             raise TiffError("an LZW code that no table entry has")
-        if last:
+        if last and len(known) < 4096:
             known.append(last + entry[:1])
         out += entry
         last = entry
@@ -244,9 +246,14 @@ def pages(raw: bytes) -> Iterator[Page]:
         if not at or not sizes or len(at) != len(sizes):
             raise TiffError("a directory has no segments")
         across, down = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(STRIP_ROWS, (height,))[0]))
-        grid = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
-        if len(grid) * planes > len(at):
+        if min(width, height, samples, across, down) < 1:
+            raise TiffError("a size of none")
+        # counted before anything of that size is made
+        if -(-height // down) * -(-width // across) * planes > len(at):
             raise TiffError("segments are missing")
+        if max(width * height, across * down) * samples * max(1, bits // 8) > MAX_IMAGE_BYTES:
+            raise TiffError(f"an image of more than {MAX_IMAGE_BYTES} bytes")
+        grid = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
         if not tiled and planes == 1 and bits == 8 and predictor == 1:
             # whole rows of bytes lie one after the other
             parts = [_inflate(raw[a : a + n], compression, min(down, height - y) * width * each) for (y, _), a, n in zip(grid, at, sizes)]
