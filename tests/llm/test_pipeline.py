@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -57,29 +58,43 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, out))
 
 
-def test_quality_is_brute_force_discriminant(spark, tmp_path):
-    sf = f"file://{tmp_path}"
-    docs = write(spark, sf)
-    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    known = {r.doc_id: r.quality for r in quality_qda.sample_of(labels).join(labels, "doc_id").collect()}
-    import zlib
-
-    assert all(zlib.crc32(str(k).encode()) % 5 for k in known)
-    x = np.array([quality_qda.statistics(t) for k, t, *_ in docs if k in known])
-    y = np.array([known[k] for k, *_ in docs if k in known])
+def plain_odds(x, y, every, pooled, identity):
+    """Log odds of the discriminant by explicit inverses."""
     mean, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6))
-    z = (x - mean) / scale
+    z, logs = (x - mean) / scale, []
     scatter = [(z[y == k] - z[y == k].mean(0)).T @ (z[y == k] - z[y == k].mean(0)) for k in (0, 1)]
-    logs = []
-    every = (np.array([quality_qda.statistics(t) for _, t, *_ in docs]) - mean) / scale
     for k in (0, 1):
         n = (y == k).sum()
-        a = max(quality_qda.TO_POOLED, quality_qda.FEATURES / (quality_qda.FEATURES + n))
+        a = max(pooled, quality_qda.FEATURES / (quality_qda.FEATURES + n))
         cov = (1 - a) * scatter[k] / n + a * (scatter[0] + scatter[1]) / len(y)
-        cov = (1 - quality_qda.TO_IDENTITY) * cov + (quality_qda.TO_IDENTITY * np.trace(cov) / quality_qda.FEATURES + 1e-6) * np.eye(quality_qda.FEATURES)
-        d = every - z[y == k].mean(0)
+        cov = (1 - identity) * cov + (identity * np.trace(cov) / quality_qda.FEATURES + 1e-6) * np.eye(quality_qda.FEATURES)
+        d = (every - mean) / scale - z[y == k].mean(0)
         logs.append(np.log(n) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
-    want = 1 / (1 + np.exp(-(logs[1] - logs[0]) / quality_qda.TEMPERATURE))
+    return logs[1] - logs[0]
+
+
+def test_quality_is_brute_force_discriminant(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    docs = write(spark, sf)
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.quality for r in quality_qda.sample_of(labels).join(labels, "doc_id").collect()}
+    assert all(zlib.crc32(str(k).encode()) % 5 for k in known)
+    rows = {k: quality_qda.statistics(t) for k, t, *_ in docs if k in known}
+    x, y = np.array([rows[k] for k in sorted(rows)]), np.array([known[k] for k in sorted(rows)])
+    fold = np.array([zlib.crc32(str(k).encode()) % 5 for k in sorted(rows)])
+    loss = {}
+    for p in quality_qda.TO_POOLED:
+        for i in quality_qda.TO_IDENTITY:
+            odds = np.zeros(len(y))
+            for f in (1, 2, 3, 4):
+                odds[fold == f] = plain_odds(x[fold != f], y[fold != f], x[fold == f], p, i)
+            for t in quality_qda.TEMPERATURES:
+                loss[p, i, t] = np.logaddexp(0, np.where(y == 1, -odds, odds) / t).sum()
+    model = quality_qda.fit(df, labels)
+    chosen = model.pooled, model.identity, model.temperature
+    assert loss[chosen] <= min(loss.values()) + 1e-5
+    odds = plain_odds(x, y, np.array([quality_qda.statistics(t) for _, t, *_ in docs]), *chosen[:2])
+    want = 0.5 * (1 + np.tanh(odds / chosen[2] / 2))
     got = {}
     for r in quality_qda.query(spark, sf).collect():
         got[r.doc_id] = r.score
@@ -87,6 +102,29 @@ def test_quality_is_brute_force_discriminant(spark, tmp_path):
     assert np.allclose([got[k] for k, *_ in docs], want, atol=1e-6)
 
 
+def test_quality_learns_a_quadratic_border():
+    """Classes with one mean and different spreads: what a pooled covariance can't tell apart; scores are calibrated."""
+    rng = np.random.default_rng(7)
+    n, y = 6000, np.repeat([0, 1], 3000)
+    x = rng.normal(size=(n, quality_qda.FEATURES)) * np.where(y == 1, 1.0, 2.0)[:, None]
+    fold, test = rng.integers(1, 5, n), rng.random(n) < 0.3
+    model = quality_qda.fit_rows(x[~test], y[~test], fold[~test])
+    scores = model.scores(x[test])
+    assert model.pooled <= 0.3 and ((scores >= 0.5) == y[test]).mean() > 0.95
+    # calibration: the mean distance of scores from shares of label 1, over bins
+    bins = np.minimum((scores * 10).astype(int), 9)
+    assert sum(abs(y[test][bins == b].sum() - scores[bins == b].sum()) for b in range(10)) / test.sum() < 0.03
+
+
+def test_quality_one_document_many_times(spark):
+    """A labelled document that is repeated counts once."""
+    rows = [(k, ("good words here " if k % 2 else "#### !!!! ") * (k + 1)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one = quality_qda.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = quality_qda.fit(spark.createDataFrame(rows + [rows[1]] * 3000, "doc_id long, text string").repartition(7), labels)
+    assert np.array_equal(one.centre, many.centre) and all(map(np.array_equal, one.factors, many.factors))
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(None, None, "a"), (1, "", "b"), (1, "x " * 100_000, "c")], "doc_id long, text string, score string")
     none = spark.createDataFrame([(1, None), (None, 1), (7, 5)], "doc_id long, quality int")
