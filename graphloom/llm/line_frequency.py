@@ -88,11 +88,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs with their boilerplate lines taken out of `text`; found: (host, h) of boilerplate()."""
-    per_host = found.groupBy(F.col("host").alias("of")).agg(F.collect_set("h").alias("common"))
-    joined = boxed(docs, "source", "text").join(per_host, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = stage(boxed(docs, F.col("source").alias("host"), "text").withColumn("rid", F.monotonically_increasing_id()), "clean-rows")
     norm = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, BLANK, " "))))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("common", norm(x))))
-    return unboxed(joined, docs.columns, text=F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    lines = rows.select("rid", "host", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD)).select("rid", "host", "at", norm(F.col("line")).alias("h"))
+    side = found.select(F.col("host").alias("of"), F.col("h").alias("common"))
+    # a row for each document that loses lines; it has as many numbers as lines at most
+    gone = lines.join(side, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("common")), "left_semi").groupBy("rid").agg(F.collect_set("at").alias("gone"))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return unboxed(rows.join(gone, "rid", "left"), docs.columns, text=text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -121,24 +121,23 @@ class Codec:
         return b"" if kind == CONTROL else self.texts[i].replace(MARK, " ").encode()
 
     def segment(self, s: str) -> list[int]:
-        """The ids of the best segmentation of an escaped text."""
-        n = len(s)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(s):
-            ending[end + 1].append(piece)
-        best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
+        """The ids of the best segmentation of an escaped text, in one pass: hits come by their ends, and each relaxes its end's best score at once."""
+        n, at = len(s), 0
+        best, sizes, ids = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
         singles, unknown = self.singles, self.unknown_score
-        for e in range(1, n + 1):
-            top, how = -1e300, None
-            for size, score, i in ending[e]:
-                if (total := best[e - size] + score) > top:
-                    top, how = total, (size, i)
-            if s[e - 1] not in singles and (total := best[e - 1] + unknown) > top:
-                top, how = total, (1, -1)
-            best[e], back[e] = top, how
+        for end, (size, score, i) in self.automaton.iter(s):
+            end += 1
+            while at < end:
+                # a position begins as an unknown character, or with nothing where the character is a piece
+                at += 1
+                best[at] = -1e300 if s[at - 1] in singles else best[at - 1] + unknown
+            total = best[end - size] + score
+            if total > best[end]:
+                best[end], sizes[end], ids[end] = total, size, i
+        # what follows the last hit is unknown: its ids and sizes are set
         out, e = [], n
         while e:
-            size, i = back[e]
+            size, i = sizes[e], ids[e]
             if i >= 0:
                 out.append(i)
             elif self.byte_fallback:
