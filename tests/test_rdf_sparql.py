@@ -198,3 +198,90 @@ def test_ill_typed_literals(spark):
     df = spark.createDataFrame([(a, XSD + b, c) for a, b, c in cases], "a string, b string, c boolean")
     bad = df.where(ill_typed(term("literal", F.col("a"), F.col("b"))) != F.col("c")).collect()
     assert bad == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variables_that_may_be_unbound_join_on_keys(spark):
+    """What is bound meets by a key; nested loops are for the rows that leave the variable open."""
+    from graphloom.plans import sparql
+
+    g = rdf.from_text(spark, "@prefix : <http://e/> . :a :p :x . :b :p :y . :c :q 1 . :d a :T . :a a :T . :b a :T . :x :n 5 . :y :n 6 . :z :n 7 .")
+    text = "PREFIX : <http://e/> SELECT ?s ?v ?n WHERE { ?s a :T OPTIONAL { ?s :p ?v } ?v :n ?n }"
+    got = sorted((r.s, r.v, r.n) for r in sparql.plain(sparql.query(g, text)).collect())
+    e = "http://e/"
+    assert got == sorted([(e + "a", e + "x", "5"), (e + "b", e + "y", "6"), *((e + "d", e + v, n) for v, n in (("x", "5"), ("y", "6"), ("z", "7")))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = sparql.Translator(g)
+        a, b = t.pattern(sparql.parse("PREFIX : <http://e/> SELECT * WHERE { ?s a :T OPTIONAL { ?s :p ?v } }").where), t.pattern(sparql.parse("PREFIX : <http://e/> SELECT * WHERE { ?v :n ?n }").where)
+        bound = t.join(t._bound(a, "v"), b)
+        assert "NestedLoop" not in _plan(bound.df) and "Cartesian" not in _plan(bound.df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both sides open, and open on the right alone
+    for text in (
+        "SELECT * WHERE { { ?s a :T OPTIONAL { ?s :p ?v } } { ?w :n ?n OPTIONAL { ?v :p ?w } } }",
+        "SELECT * WHERE { ?v :n ?m { ?w :n ?n OPTIONAL { ?w :none ?v } } }",
+        "SELECT * WHERE { ?s a :T OPTIONAL { ?s :p ?v } MINUS { ?v :n 5 } }",
+    ):
+        rows = sparql.plain(sparql.query(g, "PREFIX : <http://e/> " + text)).collect()
+        plain = sparql.plain(_nested(sparql, g, "PREFIX : <http://e/> " + text)).collect()
+        assert sorted(map(str, rows)) == sorted(map(str, plain)), text
+
+
+def _nested(sparql, graph, text):
+    """The same query with every join on conditions that allow for null."""
+
+    class Plain(sparql.Translator):
+        def _by_bound(self, a, b, v, how, extra):
+            return self._loop(a, b, how)
+
+        def _none_of(self, a, b, v):
+            return self._loop(a, b, "left_anti")
+
+        def _loop(self, a, b, how):
+            from functools import reduce
+
+            shared = [v for v in a.vars if v in b.vars]
+            right = b.df.select(*(b.df[f"`{v}`"].alias(f"r.{v}" if v in shared else v) for v in b.vars))
+            cond = reduce(lambda x, y: x & y, (sparql._equal(sparql._q(v), sparql._q(f"r.{v}"), False, True) for v in shared))
+            joined = a.df.join(right, cond, how)
+            if how == "left_anti":
+                return sparql.Sol(joined, a.maybe, a.nodes)
+            cols = [(sparql.F.coalesce(sparql._q(v), sparql._q(f"r.{v}")) if v in shared else sparql._q(v)).alias(v) for v in a.vars]
+            return sparql.Sol(joined.select(*cols, *(sparql._q(v) for v in b.vars if v not in shared)), a.maybe | b.maybe, a.nodes | b.nodes)
+
+    return Plain(graph).select(sparql.parse(text)).df
+
+
+def test_named_graphs_and_services(spark):
+    from graphloom.plans import sparql
+    from graphloom.plans.sparql_parser import SparqlError
+    from graphloom.sources import rdf
+
+    g = rdf.FrameGraph(rdf.from_lines(spark.createDataFrame([(f"<http://e/{s}> <http://e/p> <http://e/{o}> {f'<http://e/{n}> ' if n else ''}.",) for s, o, n in (("a", "b", "g1"), ("b", "c", "g1"), ("b", "c", "g2"), ("c", "d", "g2"), ("d", "e", ""))], "value string")))
+    ask = lambda text, **kw: sorted(tuple(x[-2:].strip("/") for x in r) for r in sparql.plain(sparql.query(g, text.replace(":", "<http://e/>").replace("<http://e/>p", "<http://e/p>").replace("<http://e/>g1", "<http://e/g1>").replace("<http://e/>g2", "<http://e/g2>"), **kw)).collect())
+    assert len(ask("SELECT ?x ?y WHERE { ?x :p ?y }")) == 4
+    assert ask("SELECT ?g ?x ?z WHERE { GRAPH ?g { ?x :p ?y . ?y :p ?z } }") == [("g1", "a", "c"), ("g2", "b", "d")]
+    assert ask("SELECT ?x ?y FROM :g2 WHERE { ?x :p ?y }") == [("b", "c"), ("c", "d")]
+    assert ask("SELECT ?g WHERE { GRAPH ?g { } }") == [("g1",), ("g2",)]
+    assert ask("SELECT ?x FROM NAMED :g1 WHERE { GRAPH ?g { ?x :p ?y } }") == [("a",), ("b",)]
+    with pytest.raises(SparqlError):
+        sparql.query(g, "SELECT * WHERE { SERVICE <http://e/none> { ?x ?p ?y } }")
+    assert sparql.query(g, "SELECT * WHERE { ?a <http://e/p> ?b SERVICE SILENT <http://e/none> { ?x ?p ?y } }").count() == 4
+    with pytest.raises(SparqlError):
+        sparql.query(rdf.from_text(spark, "<http://e/a> <http://e/p> 1 ."), "SELECT * FROM <http://e/g1> WHERE { ?x ?p ?y }")
+
+
+def test_literals_are_no_subjects(spark):
+    from graphloom.functions.terms import literal
+    from graphloom.sources import rdf
+
+    g = rdf.from_text(spark, "@prefix : <http://e/> . :a :p :b, 5 .")
+    nodes = g.pattern(p="http://e/p").select(g.df["o"].alias("node"))
+    with pytest.raises(Exception, match="a literal has no objects"):
+        g.objects_for(nodes, "http://e/p").collect()
+    assert g.objects_for(nodes.where("node.k = 'iri'"), "http://e/p").count() == 0 and g.contains("http://e/a", "http://e/p", literal(5))
