@@ -377,22 +377,34 @@ class Validator:
                     asked[to] = new if asked[to] is None else asked[to].unionByName(new).checkpoint()
                     front[to] = new
         live = {k: v for k, v in asked.items() if v is not None}
+        refs = {k: [r for r in dict.fromkeys(self._refs(self.schema.shapes[k], [])) if r[2] in group] for k in live}
         empty = nodes.select("fk").limit(0)
-        known = {k: (empty, 0) for k in group}
-        outer = self.assumed
+        known, outer = {k: empty for k in group}, self.assumed
         try:
-            while True:
-                self.assumed = {**outer, **{k: v[0] for k, v in known.items()}}
-                new = {}
-                for k, df in live.items():
-                    found = self.failing(self.schema.shapes[k], df, k).distinct().checkpoint()
-                    new[k] = (found, found.count())
-                if all(new[k][1] == known[k][1] for k in new):
-                    return {k: v[0] for k, v in {**known, **new}.items()}
-                known = {**known, **new}
+            self.assumed = {**outer, **known}
+            fresh = {k: self.failing(self.schema.shapes[k], df, k).distinct().checkpoint() for k, df in live.items()}
+            while fresh := {k: v for k, v in fresh.items() if not v.isEmpty()}:
+                for k, v in fresh.items():
+                    known[k] = v if known[k] is empty else known[k].unionByName(v).checkpoint()
+                self.assumed = {**outer, **known}
+                # failing nodes only grow: those are looked at again that refer to one that has just failed
+                again = {k: x for k in live if (x := self._referring(live[k], refs[k], fresh)) is not None}
+                fresh = {k: self.failing(self.schema.shapes[k], x.join(known[k], "fk", "left_anti"), k).distinct().checkpoint() for k, x in again.items()}
+            return known
         finally:
             self.assumed = outer
 
+    def _referring(self, nodes: DataFrame, refs: list, fresh: dict[str, DataFrame]) -> DataFrame | None:
+        """The nodes (fk, focus) that refer to a fresh one; None if no reference can."""
+        parts = []
+        for p, inverse, to in refs:
+            if to in fresh and p is None:
+                parts.append(nodes.select("fk").join(fresh[to], "fk", "left_semi"))
+            elif to in fresh:
+                values = self._values(nodes, p, inverse).select("fk", key_of(F.col("value")).alias("vk"))
+                parts.append(values.join(fresh[to].withColumnRenamed("fk", "vk"), "vk", "left_semi").select("fk"))
+        return nodes.join(reduce(DataFrame.unionByName, parts).distinct(), "fk", "left_semi") if parts else None
+
     # shapes
     def _values(self, nodes: DataFrame, predicate: str, inverse: bool) -> DataFrame:
         """fk, value, tid: the triples of a predicate at the nodes."""
@@ -485,6 +497,24 @@ class Validator:
         out += [self.failing(p, nodes) for p in beside]
         return reduce(DataFrame.unionByName, out).distinct() if out else nodes.select("fk").limit(0)
 
+    def explain(self, label: str, nodes: DataFrame) -> DataFrame:
+        """node, predicate, inverse, least, most, values, fitting: what each constraint of a shape finds at the nodes (node: a term)."""
+        own = nodes.select(key_of(F.col("node")).alias("fk"), F.col("node").alias("focus")).dropDuplicates(["fk"])
+        leaves: list[TripleConstraint] = []
+        self._extended(self._base(label), leaves)
+        parts = []
+        for leaf in leaves:
+            values = self._values(own, leaf.predicate, leaf.inverse)
+            fits = value_condition(leaf.value, F.col("value"))
+            if fits is None:
+                targets = values.select(key_of(F.col("value")).alias("fk"), F.col("value").alias("focus")).dropDuplicates(["fk"])
+                bad = self.failing(leaf.value, targets).distinct().select(F.col("fk").alias("bk"), F.lit(True).alias("bad"))
+                values, fits = values.join(bad, key_of(F.col("value")) == F.col("bk"), "left"), F.col("bad").isNull()
+            counted = values.groupBy("fk").agg(F.count(F.lit(1)).alias("values"), F.count_if(fits).alias("fitting"))
+            of = (F.lit(leaf.predicate).alias("predicate"), F.lit(leaf.inverse).alias("inverse"), F.lit(leaf.low).alias("least"), F.lit(leaf.high).cast("int").alias("most"))
+            parts.append(own.join(counted, "fk", "left").select(F.col("focus.lex").alias("node"), *of, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("values", "fitting"))))
+        return reduce(DataFrame.unionByName, parts)
+
     def validate(self, shapemap: DataFrame) -> DataFrame:
         """shapemap: node (a term), shape (a label or START). node, shape, status, reason of each pair."""
         parts = []
@@ -505,10 +535,82 @@ class Validator:
         return reduce(DataFrame.unionByName, parts) if parts else self.graph.spark.createDataFrame([], "node string, shape string, status string, reason string")
 
 
+def conjunction(expr) -> dict[int, tuple[int, int | None]] | None:
+    """The bounds of each leaf where the expression is a conjunction of leaves; None otherwise."""
+    if isinstance(expr, rbe.Empty):
+        return {}
+    if isinstance(expr, rbe.Sym):
+        return {expr.name: (expr.low, expr.high)}
+    if isinstance(expr, rbe.And):
+        out: dict = {}
+        for p in expr.parts:
+            inner = conjunction(p)
+            if inner is None or out.keys() & inner.keys():
+                return None
+            out |= inner
+        return out
+    return None
+
+
+def dealt(bounds: dict[int, tuple[int, int | None]], groups: list[tuple[int, int]]) -> bool:
+    """Whether all triples can be dealt to leaves within their bounds: a flow, whose cost doesn't grow with the counts.
+
+    First each leaf's least number is filled, then the rest of the triples; a triple may be moved on to make room.
+    """
+    total = sum(n for _, n in groups)
+    roomy = {leaf: total if high is None else min(high, total) for leaf, (_, high) in bounds.items()}
+    flow: dict[tuple[int, int], int] = {}
+    left = [n for _, n in groups]
+    held = dict.fromkeys(bounds, 0)
+
+    def push(need: dict[int, int]) -> bool:
+        """One more path from a group with triples left to a leaf that needs some."""
+        queue = [("g", g) for g, n in enumerate(left) if n]
+        back: dict = dict.fromkeys(queue)
+        while queue:
+            kind, x = at = queue.pop(0)
+            if kind == "g":
+                nxt = [("l", leaf) for leaf in bounds if groups[x][0] >> leaf & 1]
+            elif held[x] < need[x]:
+                path = []
+                while at is not None:
+                    path.append(at)
+                    at = back[at]
+                path.reverse()
+                most = min([left[path[0][1]], need[x] - held[x], *(flow[path[k + 1][1], path[k][1]] for k in range(1, len(path) - 1, 2))])
+                for k in range(0, len(path) - 1, 2):
+                    g, leaf = path[k][1], path[k + 1][1]
+                    flow[g, leaf] = flow.get((g, leaf), 0) + most
+                    if k + 2 < len(path):
+                        flow[path[k + 2][1], leaf] -= most
+                left[path[0][1]] -= most
+                held[x] += most
+                return True
+            else:
+                nxt = [("g", g) for g in range(len(groups)) if flow.get((g, x), 0)]
+            for y in nxt:
+                if y not in back:
+                    back[y] = at
+                    queue.append(y)
+        return False
+
+    least = {leaf: low for leaf, (low, _) in bounds.items()}
+    while push(least):
+        pass
+    if any(held[leaf] < low for leaf, low in least.items()):
+        return False
+    while any(left) and push(roomy):
+        pass
+    return not any(left)
+
+
 def assign(expr, groups: list[tuple[int, int]]) -> bool:
     """Whether triples, counted by the set of leaves (a bit mask) that they fit, can be dealt to leaves so that the expression matches."""
     if any(mask == 0 and n for mask, n in groups):
         return False
+    bounds = conjunction(expr)
+    if bounds is not None:
+        return dealt(bounds, groups)
     fixed: dict[int, int] = {}
     free = []
     for mask, n in groups:

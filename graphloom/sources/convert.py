@@ -200,6 +200,39 @@ def shex_to_rdf_config(schema: shex.Schema) -> str:
     return "\n".join(out) + "\n"
 
 
+def parse_rdf_config(text: str):
+    """The model of an rdf-config document (the first, of several), as lists and maps; needs a YAML reader."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ConversionError("no YAML reader is installed") from e
+    try:
+        found = list(yaml.safe_load_all(text))
+    except yaml.YAMLError as e:
+        raise ConversionError(f"no YAML: {e}") from e
+    if not found or found[0] is None:
+        raise ConversionError("the document is empty")
+    return found[0]
+
+
+def rdf_config_to_shex(model, prefixes: dict[str, str]) -> shex.Schema:
+    """Subjects `name <iri>` with properties `prefix:name` and a cardinality mark; what a property's values are isn't told."""
+    out = {}
+    for entry in model:
+        for subject, properties in entry.items():
+            label = subject.partition("<")[2].rstrip(">") or subject.split()[0]
+            parts = []
+            for arc in properties or ():
+                for name in arc if isinstance(arc, dict) else (arc,):
+                    low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(name[-1], (1, 1))
+                    plain = name.rstrip("?*+").strip()
+                    prefix, colon, local = plain.partition(":")
+                    iri = plain[1:-1] if plain.startswith("<") else prefixes[prefix] + local if colon and prefix in prefixes else plain
+                    parts.append(shex.TripleConstraint(iri, None, low, high))
+            out[label] = shex.ShapeDef(None if not parts else parts[0] if len(parts) == 1 else shex.EachOf(tuple(parts)))
+    return shex.Schema(out, prefixes=dict(prefixes))
+
+
 def graph_uml(rows, prefixes: dict) -> str:
     """(s, p, k, lex) rows as a diagram."""
     names: dict[str, str] = {}

@@ -60,7 +60,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return numbered.withColumn("shapeID", F.coalesce(filled, F.lit("default")))
 
 
-def parse(text: str) -> list[TapShape]:
+def read_excel(path: str, sheet: str | int = 0, placeholders: dict[str, str] | None = None) -> list[TapShape]:
+    """The shapes of a sheet of a workbook, where a reader for its format is installed."""
+    import pandas as pd
+
+    try:
+        frame = pd.read_excel(path, sheet_name=sheet, dtype=str, keep_default_na=False)
+    except ImportError as e:
+        raise TapError(f"no reader for {path} is installed") from e
+    return parse(frame.to_csv(index=False), placeholders)
+
+
+def parse(text: str, placeholders: dict[str, str] | None = None) -> list[TapShape]:
+    """placeholders: a property's text -> a stem; each use gives the stem with a number, from 0 on for each text."""
+    used: dict[str, int] = {}
+
+    def property_of(name: str) -> str:
+        if name not in (placeholders or {}):
+            return name
+        used[name] = used.get(name, -1) + 1
+        return f"{placeholders[name]}{used[name]}"
+
     rows = csv.DictReader(io.StringIO(text))
     shapes: dict[str, TapShape] = {}
     at = "default"
@@ -74,7 +94,7 @@ def parse(text: str) -> list[TapShape]:
         kind = row.get("valueConstraintType", "").lower()
         if kind and kind not in CONSTRAINTS:
             raise TapError(f"no such constraint type: {kind}")
-        own.statements.append(Statement(row["propertyID"], row.get("propertyLabel", ""), boolean(row.get("mandatory", "")), boolean(row.get("repeatable", "")), tuple(row.get("valueNodeType", "").lower().split()), row.get("valueDataType", ""), row.get("valueConstraint", ""), kind, row.get("valueShape", ""), row.get("note", ""), row.get("severity", "")))
+        own.statements.append(Statement(property_of(row["propertyID"]), row.get("propertyLabel", ""), boolean(row.get("mandatory", "")), boolean(row.get("repeatable", "")), tuple(row.get("valueNodeType", "").lower().split()), row.get("valueDataType", ""), row.get("valueConstraint", ""), kind, row.get("valueShape", ""), row.get("note", ""), row.get("severity", "")))
     return list(shapes.values())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.terms import LANG_STRING, XSD, Term, term
-from ..operators.graph import Graph
+from ..operators.graph import FrameGraph, Graph
 
 TIMEOUT = 60
 
@@ -70,6 +70,41 @@ def select(spark: SparkSession, url: str, query: str, variables: list[str], page
     return raw.select(*(F.when(F.col(f"{n}_k").isNotNull(), term(*(F.col(f"{n}_{f}") for f in ("k", "lex", "dt", "lang")))).alias(n) for n in variables))
 
 
+class _Lines(DataSourceReader):
+    """The N-Triples lines of a CONSTRUCT or DESCRIBE, asked for by a task."""
+
+    def __init__(self, options: dict):
+        self.url, self.query = options["url"], options["query"]
+
+    def read(self, partition):
+        body = urllib.parse.urlencode({"query": self.query}).encode()
+        request = urllib.request.Request(self.url, body, {"Accept": "application/n-triples"})
+        with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+            for line in answer:
+                yield (line.decode().rstrip("\n"),)
+
+
+class EndpointLines(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "sparql_endpoint_lines"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Lines(dict(self.options))
+
+
+def construct(spark: SparkSession, url: str, query: str) -> FrameGraph:
+    """The triples of a CONSTRUCT or DESCRIBE at an endpoint that answers in N-Triples."""
+    from .rdf import from_lines
+
+    spark.dataSource.register(EndpointLines)
+    lines = spark.read.format("sparql_endpoint_lines").options(url=url, query=query).load()
+    return FrameGraph(from_lines(lines).select("s", "p", "o").distinct())
+
+
 class EndpointGraph(Graph):
     def __init__(self, spark: SparkSession, url: str):
         self.spark, self.url = spark, url

@@ -132,3 +132,63 @@ def test_columns_are_the_numbers(spark):
         for k, e in enumerate(es):
             own = {s: bags[r.i][s] for s in rbe.symbols(e)}
             assert r[f"e{k}"] == rbe.interval_matches(e, own), (e, own)
+
+
+def test_dealing_triples_is_enumeration():
+    """The flow agrees with trying all ways, on small counts."""
+    rng = random.Random(17)
+    for _ in range(600):
+        k = rng.randrange(1, 5)
+        bounds = {i: (low := rng.randrange(0, 3), rng.choice([None, low + rng.randrange(0, 3)])) for i in range(k)}
+        groups = [(m, rng.randrange(1, 4)) for m in rng.sample(range(1, 2**k), min(2**k - 1, rng.randrange(1, 5)))]
+
+        def ways(left, bag):
+            if not left:
+                return all(lo <= bag.get(i, 0) and (hi is None or bag.get(i, 0) <= hi) for i, (lo, hi) in bounds.items())
+            return any(ways(left[1:], {**bag, i: bag.get(i, 0) + 1}) for i in range(k) if left[0] >> i & 1)
+
+        assert shex.dealt(bounds, groups) == ways([m for m, n in groups for _ in range(n)], {}), (bounds, groups)
+
+
+def test_a_hub_is_dealt_fast():
+    bounds = {i: (1000 * i, None if i % 2 else 40_000) for i in range(12)}
+    assert shex.dealt(bounds, [(4095 ^ (1 << i), 10_000) for i in range(12)])
+    assert not shex.dealt({0: (0, 5), 1: (0, 5)}, [(3, 10**9)])
+    assert shex.assign(rbe.And(tuple(rbe.Sym(i, 0, None) for i in range(10))), [(1023, 10**7)])
+
+
+def test_explanations(spark):
+    g = rdf.from_text(spark, TURTLE + ':a :p 1, 2, "x" ; :q :b . :b :p 7 . :c :q :a .')
+    s = load(PREFIXES + ":S { :p xsd:integer + ; :q @:T ? ; ^:q . * } :T { :p [ 7 ] }")
+    nodes = shex.shape_map(g, parse_shapemap(":a@:S, :c@:S", {"": "http://e/"}))
+    got = {(r.node[-1], r.predicate[-1], r.inverse): (r.least, r.most, r["values"], r.fitting) for r in shex.Validator(g, s).explain("http://e/S", nodes).collect()}
+    assert got == {
+        ("a", "p", False): (1, None, 3, 2), ("a", "q", False): (0, 1, 1, 1), ("a", "q", True): (0, None, 1, 1),
+        ("c", "p", False): (1, None, 0, 0), ("c", "q", False): (0, 1, 1, 0), ("c", "q", True): (0, None, 0, 0),
+    }
+
+
+def test_failures_go_along_a_chain(spark):
+    """A failure at the end of a chain is found at its start, round by round; what doesn't refer to it holds."""
+    chain = " . ".join(f":n{i} :v 1 ; :next :n{i + 1}" for i in range(6)) + " . :n6 :v 2 . :m0 :v 1 ; :next :m1 . :m1 :v 1 ."
+    got = status(spark, ":S { :v [ 1 ] ; :next @:S ? }", chain, ":n0@:S, :n5@:S, :m0@:S")
+    assert got == {"n0": False, "n5": False, "m0": True}
+
+
+def test_actions(spark):
+    from graphloom.plans import shex_actions as sa
+
+    g = rdf.from_text(spark, TURTLE + ':a :p 1, 2 ; :q :b . :b :p 3 ; :q :a . :c :q :a .')
+    text = ':S { :p xsd:integer + %<http://shex.io/extensions/Test/>{ print(o) %} ; :q IRI %<http://shex.io/extensions/Map/#>{ link %} %<http://shex.io/extensions/Test/>{ print("to \\"it\\"") %} }'
+    s = load(PREFIXES + text)
+    nodes = shex.shape_map(g, parse_shapemap(":a@:S, :b@:S, :c@:S", {"": "http://e/"}))
+    got = sorted((r.focus[-1], r.predicate[-1], r.output, r.failed) for r in sa.run(g, s, nodes, "http://e/S").collect())
+    assert got == sorted([("a", "p", "1", False), ("a", "p", "2", False), ("b", "p", "3", False), *((x, "q", o, False) for x, y in ("ab", "ba") for o in (f"link=http://e/{y}", 'to "it"'))])
+    failing = load(PREFIXES + ":S { :p [ 3 ] %<http://shex.io/extensions/Test/>{ fail(s) %} + ; :q . } ".replace("%} +", "%}"))
+    only = shex.shape_map(g, parse_shapemap(":b@:S", {"": "http://e/"}))
+    assert sa.run(g, failing, only, "http://e/S").first().output == "http://e/b"
+    assert sa.conforming(g, failing, only, "http://e/S").isEmpty() and sa.conforming(g, s, nodes, "http://e/S").count() == 2
+    with pytest.raises(sa.ActionError):
+        sa.run(g, load(PREFIXES + ":S { :p . + %<http://e/unknown>{ x %} }"), only, "http://e/S")
+    with pytest.raises(sa.ActionError):
+        sa.test_action("shout(o)", g.triples())

@@ -76,3 +76,55 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["convert", str(tmp_path / "s.shex")], spark) == 0
     out = capsys.readouterr().out
     assert "| 5 |" in out and "minCount" in out and "SELECT * WHERE" in out
+
+
+def test_construct_at_an_endpoint(spark):
+    from graphloom.sources.endpoint import construct
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            assert self.headers["Accept"] == "application/n-triples" and b"CONSTRUCT" in self.rfile.read(int(self.headers["Content-Length"]))
+            body = '<http://e/a> <http://e/p> "x\\ny é"@en .\n<http://e/a> <http://e/p> "x\\ny é"@en .\n_:b <http://e/q> <http://e/a> .\n'.encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        g = construct(spark, f"http://127.0.0.1:{server.server_port}/sparql", "CONSTRUCT WHERE { ?s ?p ?o }")
+        assert sorted((r.s, r.o.lex, r.o.lang) for r in g.triples().collect()) == [("_:b", "http://e/a", ""), ("http://e/a", "x\ny é", "en")]
+    finally:
+        server.shutdown()
+
+
+def test_profile_placeholders_and_workbooks(tmp_path):
+    import pytest
+
+    from graphloom.sources import dctap
+
+    text = "shapeID,propertyID\n:A,_\n,:p\n,_\n:B,_\n,??\n"
+    got = [(s.id, [x.property for x in s.statements]) for s in dctap.parse(text, {"_": "http://e/gen"})]
+    assert got == [(":A", ["http://e/gen0", ":p", "http://e/gen1"]), (":B", ["http://e/gen2", "??"])]
+    (tmp_path / "t.xlsx").write_bytes(b"no workbook")
+    with pytest.raises(Exception):
+        dctap.read_excel(str(tmp_path / "t.xlsx"))
+
+
+def test_rdf_config_round_trip():
+    import pytest
+
+    from graphloom.sources import convert
+
+    pytest.importorskip("yaml")
+    schema = parse_shexc("PREFIX : <http://e/> :Lake { :name . ; :feeds IRI * ; :depth . ? ; :island . + } :Pond { :name . }")
+    back = convert.rdf_config_to_shex(convert.parse_rdf_config(convert.shex_to_rdf_config(schema)), schema.prefixes)
+    shown = lambda s: {k: [(x.predicate, x.low, x.high) for x in convert.leaves(e.expr)] for k, e in s.shapes.items()}
+    assert shown(back) == shown(schema)
+    for bad in ("", "a: [", "---\n"):
+        with pytest.raises(convert.ConversionError):
+            convert.parse_rdf_config(bad)
