@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import CUSTOMER, CUSTOMER_NATION, EX, NATION, NATION_REGION, ORACLES, ORDER, ORDER_CUSTOMER, PART, PREFIX, QUERIES, REGION, SUPPLIER, C, S, p, register, sparql_query
+from .catalog import CUSTOMER, CUSTOMER_NATION, EX, LINE, NATION, NATION_REGION, ORACLES, ORDER, ORDER_CUSTOMER, PART, PREFIX, QUERIES, REGION, SUPPLIER, C, S, lines, p, register, sparql_query
 from .functions.terms import RDF, SUBCLASS, TYPE, XSD, Term, iri, literal, resource, term
 from .operators import generate, stats
 from .operators.graph import FederatedGraph, FrameGraph
@@ -17,7 +17,7 @@ from .operators.paths import Alt, Inv, lists, scratch
 from .plans import pgschema as pg
 from .plans import shacl, shex, sparql
 from .plans.shacl import conforms
-from .sources import convert, dctap, rdf, shex_text, turtle
+from .sources import convert, dctap, rdf, service, shex_text, turtle
 from .sources.lift import from_tables, key_iri
 from .sources.shexr import parse_shexr
 
@@ -547,3 +547,133 @@ def _(spark, d):
     own = tuple(generate.Property(EX + f"extra{k}", low=0, high=1) for k in range(5))
     shape = generate.Shape(EX + "Person", (generate.Property(EX + "name", generator="person"), *own), optional=2)
     return generate.generate(spark, [shape], 20_000, "max").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+
+
+# more of ShEx: included expressions, abstract shapes, imports, digits, materialisation
+
+
+def _shex_focus(schema_text: str, focus: str, tables, label: str = "S", resolve=None):
+    def run(spark, d):
+        g = from_tables(spark, d, tables)
+        schema = shex_text.load(f"PREFIX : <{EX}> PREFIX xsd: <{XSD}> " + schema_text, resolve=resolve)
+        schema.check()
+        return shex.Validator(g, schema).validate(shex.shape_map(g, [(("focus", TYPE, iri(EX + focus)), EX + label)])).select("node", "status")
+
+    return run
+
+
+def _status(node: str, source: str, good: str) -> str:
+    return f"SELECT {node} AS node, CASE WHEN {good} THEN 'conformant' ELSE 'nonconformant' END AS status FROM {source}"
+
+
+for _name, _text, _focus, _tables, _sql, _resolve in (
+    ("shex_include", ":Base { $:common ( :c_acctbal MININCLUSIVE 0 ; :c_name . ) } :S { &:common ; :c_mktsegment [ 'BUILDING' 'MACHINERY' ] }".replace(":c_acctbal MIN", ":c_acctbal LITERAL MIN"), "Customer", ("customer",), _status(CUSTOMER, "customer", "c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')"), None),
+    ("shex_abstract", "ABSTRACT :S { :c_name . } :Rich EXTENDS @:S { :c_acctbal LITERAL MININCLUSIVE 5000 } :Builder EXTENDS @:S { :c_mktsegment [ 'BUILDING' ] }", "Customer", ("customer",), _status(CUSTOMER, "customer", "c_acctbal >= 5000 OR c_mktsegment = 'BUILDING'"), None),
+    ("shex_import", "IMPORT <http://e/other> :S { :o_custkey @:Known }", "Orders", ("orders", "customer"), _status(ORDER, "orders LEFT JOIN customer ON o_custkey = c_custkey", "coalesce(c_acctbal < 3000, false)"), lambda ref: f"PREFIX : <{EX}> :Known {{ :c_acctbal LITERAL MAXEXCLUSIVE 3000 }}"),
+    ("shex_digits", ":S { :o_custkey @:C } :C { :c_custkey xsd:integer TOTALDIGITS 3 }", "Orders", ("orders", "customer"), _status(ORDER, "orders LEFT JOIN customer ON o_custkey = c_custkey", "coalesce(c_custkey < 1000, false)"), None),
+):
+    QUERIES[_name], ORACLES[_name] = _shex_focus(_text, _focus, _tables, resolve=_resolve), _sql
+
+
+@register("shex_materialize", f"SELECT {CUSTOMER} AS s, '{EX}label' AS p, c_name AS value FROM customer WHERE c_acctbal >= 9000")
+def _(spark, d):
+    """What Map actions take from one shape is put in place by another."""
+    g = from_tables(spark, d, ("customer",))
+    key = "%<http://shex.io/extensions/Map/#>{ name %}"
+    source = shex_text.parse_shexc(f"PREFIX : <{EX}> :S {{ :c_name . {key} ; :c_acctbal LITERAL MININCLUSIVE 9000 }}")
+    target = shex_text.parse_shexc(f"PREFIX : <{EX}> :T {{ :label . {key} }}")
+    state = shex.map_actions(g, source, shex.shape_map(g, [(("focus", TYPE, iri(EX + "Customer")), EX + "S")]), EX + "S")
+    return shex.materialize(target, EX + "T", state).select("s", "p", F.col("o.lex").alias("value"))
+
+
+@register("shex_test_actions", f"SELECT {CUSTOMER} AS focus, c_mktsegment AS output FROM customer WHERE c_acctbal >= 9000")
+def _(spark, d):
+    from .plans import shex_actions
+
+    g = from_tables(spark, d, ("customer",))
+    schema = shex_text.parse_shexc(f"PREFIX : <{EX}> :S {{ :c_mktsegment . %<{shex_actions.TEST}>{{ print(o) %}} ; :c_acctbal LITERAL MININCLUSIVE 9000 }}")
+    return shex_actions.run(g, schema, shex.shape_map(g, [(("focus", TYPE, iri(EX + "Customer")), EX + "S")]), EX + "S").select("focus", "output")
+
+
+@register("shex_explain", f"SELECT {CUSTOMER} AS node, count(o_orderkey) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS fitting FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def _(spark, d):
+    g = from_tables(spark, d, ("customer", "orders"))
+    schema = shex_text.parse_shexc(f"PREFIX : <{EX}> :S {{ ^:o_custkey @:F * }} :F {{ :o_orderstatus [ 'F' ] }}")
+    got = shex.Validator(g, schema).explain(EX + "S", shex.shape_map(g, [(("focus", TYPE, iri(EX + "Customer")), EX + "S")]))
+    return got.select("node", F.col("values").alias("n"), "fitting")
+
+
+@register("shex_to_sparql_run", f"SELECT {ORDER} AS o, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _(spark, d):
+    """The SELECT that a schema is turned into, run."""
+    schema = shex_text.parse_shexc(f"PREFIX : <{EX}> start = @:O :O {{ :o_orderstatus [ 'F' 'O' ] ; :o_custkey @:C }} :C {{ :c_mktsegment [ 'BUILDING' 'MACHINERY' ] }}")
+    got = sparql.plain(sparql.query(from_tables(spark, d, ("orders", "customer")), convert.shex_to_sparql(schema)))
+    return got.select(F.col("this").alias("o"), F.col("v3").alias("seg"))
+
+
+# more of property graphs, profiles, services, generation and reports
+
+
+@register("pg_cardinality", "SELECT 'n' || o_custkey AS id, count(*) BETWEEN 8 AND 12 AS conforms FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    """Each customer's orders as a list of values, of which there must be eight to twelve."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    held = orders.groupBy("o_custkey").agg(F.flatten(F.collect_list(pg.value_column("i", F.col("o_orderkey")))).alias("v"))
+    nodes = held.select(F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("id"), F.array(F.lit("C")).cast("array<string>").alias("labels"), F.create_map(F.lit("orders"), F.col("v")).alias("props"))
+    return pg.PropertyGraph(nodes, spark.createDataFrame([], pg.EDGES)).conforming_nodes(pg.parse_schema("CREATE NODE TYPE ( T : C { orders: INTEGER {8,12} })"), "T")
+
+
+@register("pg_merge", "SELECT 'c' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE c_mktsegment END AS segment FROM customer")
+def _(spark, d):
+    """A graph merged with another that says more of some of its nodes: theirs win."""
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    made = lambda df, c: pg.PropertyGraph(df.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.lit("C")).cast("array<string>").alias("labels"), F.create_map(F.lit("segment"), pg.value_column("s", c)).alias("props")), spark.createDataFrame([], pg.EDGES))
+    both = made(customer, F.col("c_mktsegment")).merge(made(customer.where("c_acctbal < 0"), F.lit("debtor")))
+    return both.nodes.select("id", F.col("props")["segment"][0]["s"].alias("segment"))
+
+
+@register("dctap_rows", "SELECT * FROM (VALUES (':Customer', ':c_mktsegment'), (':Customer', ':c_acctbal'), (':Customer', ':c_name')) v(shape, property)")
+def _(spark, d):
+    """A profile written as CSV: blank shape ids continue the shape before."""
+    path = scratch(spark, "tap")
+    spark.createDataFrame([(_TAP.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+    return dctap.read_table(spark, path).select(F.col("shapeID").alias("shape"), F.col("propertyID").alias("property"))
+
+
+@register("service_partitions", "SELECT * FROM (VALUES ('Customer', 'c_name'), ('Customer', 'c_acctbal'), ('Orders', 'o_custkey')) v(class, property)")
+def _(spark, d):
+    """A service description's class and property partitions."""
+    text = f"""@prefix sd: <http://www.w3.org/ns/sparql-service-description#> . @prefix void: <http://rdfs.org/ns/void#> . @prefix : <{EX}> .
+    :s a sd:Service ; sd:endpoint :sparql ; sd:defaultDataset [ sd:defaultGraph [ void:classPartition
+      [ void:class :Customer ; void:propertyPartition [ void:property :c_name ], [ void:property :c_acctbal ] ],
+      [ void:class :Orders ; void:propertyPartition [ void:property :o_custkey ] ] ] ] ."""
+    found = service.parse_service(turtle.parse(text)[0])
+    rows = [(c.name.removeprefix(EX), q.name.removeprefix(EX)) for ds in found.datasets for c in ds.class_partitions for q in c.properties]
+    return spark.createDataFrame(rows, "class string, property string")
+
+
+@register("generate_seeded", "SELECT 0::BIGINT AS differ, true AS other_seed_differs")
+def _(spark, d):
+    """Runs with one seed agree, those with another don't; whole graphs of 20,000 entities."""
+    shape = [generate.Shape(EX + "P", (generate.Property(EX + "n", XSD + "integer"), generate.Property(EX + "d", XSD + "date")))]
+    a, b, c = (generate.generate(spark, shape, 20_000, seed=x).select("s", "p", F.col("o.lex").alias("v")) for x in (1, 1, 2))
+    differ = a.exceptAll(b).agg(F.count(F.lit(1)).alias("differ"))
+    return differ.join(F.broadcast(a.exceptAll(c).agg((F.count(F.lit(1)) > 1000).alias("other_seed_differs"))))
+
+
+@register("shacl_report_sorted", f"SELECT {CUSTOMER} AS focus, row_number() OVER (ORDER BY {CUSTOMER}) AS place FROM customer WHERE c_acctbal < 0")
+def _(spark, d):
+    """The place of each result in the report by node, from its sort keys."""
+    from pyspark.sql.window import Window
+
+    report = shacl.sort_report(shacl.validate(from_tables(spark, d, ("customer",)), shacl.Schema.of(S("urn:s", p("c_acctbal"), (("class", EX + "Customer"),), (C("minInclusive", (literal(0.0),)),)))), "Node")
+    # a report by one key: its order is that of the window
+    return report.select("focus", F.row_number().over(Window.orderBy("focus")).alias("place"))
+
+
+@register("shacl_sparql_pairs", f"SELECT {LINE} AS focus FROM {lines('l_tax')} JOIN {lines('l_discount')} d USING (l_orderkey, l_linenumber) WHERE NOT l_tax < l_discount")
+def _(spark, d):
+    """A pair of properties compared by a SPARQL constraint."""
+    text = "SELECT $this ?value WHERE { $this $PATH ?value . $this <%sl_discount> ?other FILTER (!(?value < ?other)) }" % EX
+    shape = S("urn:s", p("l_tax"), (("class", EX + "Lineitem"),), (C("sparql", (text,)),))
+    return shacl.validate(from_tables(spark, d, ("lineitem",)), shacl.Schema.of(shape)).select("focus")

@@ -222,15 +222,17 @@ class PropertyGraph:
 
         return PropertyGraph(both(self.nodes, other.nodes), both(self.edges, other.edges))
 
-    def conforming_nodes(self, schema: PgSchema, name: str) -> DataFrame:
-        """id, conforms of every node for a node type."""
-        return self.nodes.select("id", element_column(schema, schema.nodes[name], F.col("labels"), F.col("props")).alias("conforms"))
+    def conforming_nodes(self, schema: PgSchema, name: str, only: DataFrame | None = None) -> DataFrame:
+        """id, conforms of every node for a node type; only: the ids to look at."""
+        nodes = self.nodes if only is None else self.nodes.join(only, "id", "left_semi")
+        return nodes.select("id", element_column(schema, schema.nodes[name], F.col("labels"), F.col("props")).alias("conforms"))
 
-    def conforming_edges(self, schema: PgSchema, name: str) -> DataFrame:
-        """id, conforms of every edge: its source, itself and its target."""
+    def conforming_edges(self, schema: PgSchema, name: str, only: DataFrame | None = None) -> DataFrame:
+        """id, conforms of every edge: its source, itself and its target; only: the ids to look at."""
         t = schema.edges[name]
+        edges = self.edges if only is None else self.edges.join(only, "id", "left_semi")
         ends = self.nodes.select(F.col("id").alias("nid"), element_column(schema, t.source, F.col("labels"), F.col("props")).alias("as_source"), element_column(schema, t.target, F.col("labels"), F.col("props")).alias("as_target"))
-        own = self.edges.select("id", "src", "dst", element_column(schema, t.own, F.col("labels"), F.col("props")).alias("own"))
+        own = edges.select("id", "src", "dst", element_column(schema, t.own, F.col("labels"), F.col("props")).alias("own"))
         a = own.join(ends.select(F.col("nid").alias("src"), "as_source"), "src", "left")
         b = a.join(ends.select(F.col("nid").alias("dst"), "as_target"), "dst", "left")
         return b.select("id", F.coalesce(F.col("own") & F.col("as_source") & F.col("as_target"), F.lit(False)).alias("conforms"))
@@ -242,7 +244,9 @@ class PropertyGraph:
         for name in names:
             if name not in schema.nodes and name not in schema.edges:
                 raise PgError(f"no type {name}")
-            found = self.conforming_nodes(schema, name) if name in schema.nodes else self.conforming_edges(schema, name)
+            # a type is tested on the elements that the map gives it
+            ids = typemap.where(F.col("type_name") == name).select(F.col("element_id").alias("id")).distinct()
+            found = (self.conforming_nodes if name in schema.nodes else self.conforming_edges)(schema, name, ids)
             parts.append(found.select("id", F.lit(name).alias("of"), "conforms"))
         if not parts:
             return self.nodes.sparkSession.createDataFrame([], "element_id string, type_name string, expected boolean, conforms boolean, agrees boolean")
