@@ -33,6 +33,10 @@ class Graph:
         """Whether each subject of a predicate is known to be an instance of a class."""
         return False
 
+    def may_have(self, p: str) -> bool:
+        """False where it is known that no triple has the predicate."""
+        return True
+
     def pattern(self, s: str | None = None, p: str | None = None, o: Term | None = None) -> DataFrame:
         raise NotImplementedError
 
@@ -189,6 +193,9 @@ class LiftedGraph(Graph):
         sources = self.maps.get(p, ())
         return len(sources) == 1 and id(sources[0][0]) not in self.repeated
 
+    def may_have(self, p: str) -> bool:
+        return p in self.maps or (p == TYPE and bool(self.types))
+
     def covers(self, cls: str, p: str) -> bool:
         df, subject = self.types.get(cls, (None, None))
         sources = self.maps.get(p, ())

@@ -109,7 +109,7 @@ class Validator:
     def instances(self, cls: str, levels: bool) -> DataFrame:
         """node: instances of a class, and of its subclasses."""
         direct = self.graph.pattern(p=TYPE, o=iri(cls)).select(F.col("s").alias("node"))
-        if not levels:
+        if not levels or not self.graph.may_have(SUBCLASS):
             return direct
         sub = self.subclasses(cls).withColumnRenamed("node", "sub")
         below = self.graph.pattern(p=TYPE).where(F.col("o.k") == "iri").join(sub, F.col("o.lex") == F.col("sub")).select(F.col("s").alias("node"))
@@ -150,6 +150,8 @@ class Validator:
                 return found.select(F.col("start").alias("fk"), F.col("end").alias("value"))
             joined = focus.select("fk").join(found, F.col("fk") == F.col("start")).select("fk", F.col("end").alias("value"))
             return joined if self.graph.sets else joined.distinct()
+        if cls is not None and isinstance(path, Alt) and all(isinstance(x, Pred) and self.graph.covers(cls, x.iri) for x in path.parts):
+            return pairs(self.graph, path).select(F.col("start").alias("fk"), F.col("end").alias("value"))
         seeds = focus.where(F.col("focus.k") != "literal").select(F.col("fk").alias("start"))
         found = pairs(self.graph, path, seeds, strict=self.mode == "native")
         return focus.select("fk").join(found, F.col("fk") == F.col("start")).select("fk", F.col("end").alias("value"))
