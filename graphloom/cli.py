@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import sys
 
+#: Rows of a result that are printed.
+SHOWN = 10_000
+
 
 def _read(path: str) -> str:
     if path == "-":
@@ -66,7 +69,14 @@ def main(args: list[str] | None = None, spark=None) -> int:
     s = Session(spark or SparkSession.builder.getOrCreate())
     if hasattr(a, "data"):
         s.load_data(a.data, a.format, mode="lax" if a.lax else "strict")
-    show = lambda df: print(convert.table_text(df.columns, [["" if x is None else str(x) for x in r] for r in df.limit(10_000).collect()]))
+
+    def show(df) -> None:
+        """At most SHOWN rows; it is said if there are more."""
+        rows = df.limit(SHOWN + 1).collect()
+        print(convert.table_text(df.columns, [["" if x is None else str(x) for x in r] for r in rows[:SHOWN]]))
+        if len(rows) > SHOWN:
+            print(f"only the first {SHOWN} rows are shown; use the Python interface to write all", file=sys.stderr)
+
     if a.command == "data":
         print(s.serialize_data(a.to))
     elif a.command == "query":

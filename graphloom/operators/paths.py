@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,10 @@ class NotIn:
     backward: tuple = ()
 
 
+#: Rounds of a closure whose results are kept apart.
+COMPACT = 12
+
+
 class PathError(ValueError):
     pass
 
@@ -82,16 +87,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """The pairs (start, end) of `start` extended along edges (start, end) until nothing is new."""
+    """The pairs (start, end) of `start` extended along edges (start, end) until nothing is new.
+
+    Each round writes what it has found; what is known is the union of these, put together once in COMPACT rounds.
+    """
     shared_checkpoints(edges)
     edges = edges.select(F.col("start").alias("end"), F.col("end").alias("next")).distinct()
-    known = front = start.select("start", "end").distinct().checkpoint()
+    front = start.select("start", "end").distinct().checkpoint()
+    found = [front]
     while True:
+        known = reduce(DataFrame.unionByName, found)
         step = front.join(edges, "end").select("start", F.col("next").alias("end")).distinct()
         front = step.join(known, ["start", "end"], "left_anti").checkpoint()
         if front.isEmpty():
             return known
-        known = known.unionByName(front).checkpoint()
+        found = [known.unionByName(front).checkpoint()] if len(found) >= COMPACT else [*found, front]
 
 
 def nodes_of(graph: Graph) -> DataFrame:

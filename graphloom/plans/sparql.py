@@ -123,7 +123,8 @@ class Translator:
             out = self.union(out, Sol(free.df.withColumn(v, F.lit(None).cast(TERM)), free.maybe | {v}, free.nodes))
         return Sol(out.df.select(*map(_q, a.vars)), a.maybe, a.nodes)
 
-    def triple(self, t) -> Sol:
+    def triple(self, t, known: Sol | None = None) -> Sol:
+        """known: solutions that the pattern will be joined with; a closure begins at what they bind."""
         s, p, o = t
         if isinstance(p, (Pred, Var)) or isinstance(p, str):
             name = p.iri if isinstance(p, Pred) else None
@@ -137,16 +138,16 @@ class Translator:
                 df = self._in_graphs(*known)
                 got.insert(0, (Var(self.within), resource(F.col("g"))))
         elif isinstance(p, Inv):
-            return self.triple((o, p.path, s)) if isinstance(p.path, Pred) else self.triple((s, inverse(p.path), o))
+            return self.triple((o, p.path, s), known) if isinstance(p.path, Pred) else self.triple((s, inverse(p.path), o), known)
         elif isinstance(p, Seq) and p.parts:
             # a sequence is a join: only * + and ? are sets
             self.fresh += 1
             ends = [s, *(Var(f".p{self.fresh}.{i}") for i in range(1, len(p.parts))), o]
-            whole = self.bgp(list(zip(ends, p.parts, ends[1:])))
+            whole = self.bgp(list(zip(ends, p.parts, ends[1:])), known)
             keep = [v for v in whole.vars if not v.startswith(f".p{self.fresh}.")]
             return Sol(whole.df.select(*map(_q, keep)), whole.maybe, whole.nodes)
         elif isinstance(p, Alt):
-            return reduce(self.union, [self.triple((s, x, o)) for x in p.parts])
+            return reduce(self.union, [self.triple((s, x, o), known) for x in p.parts])
         elif self.within is not None:
             raise SparqlError("a closure within GRAPH needs an IRI")
         else:
@@ -156,6 +157,8 @@ class Translator:
                 seeds = self.spark.createDataFrame([(s.lex,)], "start string")
             elif isinstance(o, Term) and o.k != "literal" and isinstance(p, (Star, Plus, Opt)):
                 return self.triple((o, type(p)(Inv(p.path)), s)) if not isinstance(p.path, Inv) else self.triple((o, type(p)(p.path.path), s))
+            elif known is not None and isinstance(s, Var) and s.name in known.nodes and s.name not in known.maybe:
+                seeds = known.df.select(_q(s.name)["lex"].alias("start")).distinct()
             df = pairs(self.graph, p, seeds if zero or isinstance(p, Plus) else None)
             if isinstance(s, Term):
                 df = df.where(F.col("start") == s.lex)
@@ -180,8 +183,8 @@ class Translator:
         names = dict.fromkeys(v.name for v in variables)
         return self.spark.createDataFrame([], ", ".join(f"`{n}` {TERM}" for n in names)) if names else self.spark.range(0).select()
 
-    def bgp(self, triples) -> Sol:
-        """Patterns joined by a cheap order: many constants first, and always something connected if there is."""
+    def bgp(self, triples, before: Sol | None = None) -> Sol:
+        """Patterns joined by a cheap order: many constants first, and always something connected if there is. before: what they are joined with."""
         left = list(triples)
         weight = lambda t: (-isinstance(t[0], Term), -isinstance(t[2], Term), isinstance(t[1], Var), not isinstance(t[1], Pred))
         out, known = None, set()
@@ -191,7 +194,7 @@ class Translator:
             nxt = min(linked, key=weight)
             left.remove(nxt)
             known |= names(nxt)
-            one = self.triple(nxt)
+            one = self.triple(nxt, before if out is None else out)
             if not one.vars:
                 # a pattern without variables is a test
                 test = Sol(one.df.limit(1).select(F.lit(1).alias(".t")))
@@ -220,7 +223,7 @@ class Translator:
 
         def flush(sol: Sol) -> Sol:
             if triples:
-                sol = self.join(sol, self.bgp(list(triples)))
+                sol = self.join(sol, self.bgp(list(triples), sol))
                 triples.clear()
             return sol
 
