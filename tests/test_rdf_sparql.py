@@ -285,3 +285,22 @@ def test_literals_are_no_subjects(spark):
     with pytest.raises(Exception, match="a literal has no objects"):
         g.objects_for(nodes, "http://e/p").collect()
     assert g.objects_for(nodes.where("node.k = 'iri'"), "http://e/p").count() == 0 and g.contains("http://e/a", "http://e/p", literal(5))
+
+
+def test_closures_are_compacted(spark, monkeypatch):
+    from graphloom.operators import paths
+
+    monkeypatch.setattr(paths, "COMPACT", 2)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("n7", "n3")], "start string, end string")
+    got = {(r.start, r.end) for r in paths.reach(edges, edges.where("start = 'n0'")).collect()}
+    assert got == {("n0", f"n{i}") for i in range(1, 8)}
+
+
+def test_closure_of_bound_subjects(spark):
+    g = rdf.from_text(spark, "@prefix : <http://e/> . :a a :T ; :p :b . :b :p :c . :x :p :y . :y :p :z . :c :q 5 .")
+    text = "PREFIX : <http://e/> SELECT ?s ?o WHERE { ?s a :T . ?s :p* ?o }"
+    assert sorted(r.o[-1] for r in plain(query(g, text)).collect()) == ["a", "b", "c"]
+    text = "PREFIX : <http://e/> SELECT ?s ?v WHERE { ?s a :T . ?s :p+/:q ?v }"
+    assert [(r.s[-1], r.v) for r in plain(query(g, text)).collect()] == [("a", "5")]
+    # six pairs; the two that bind ?v bind it to a literal, from which no path begins; the others go with 7 nodes and 6 pairs
+    assert query(g, "PREFIX : <http://e/> SELECT * WHERE { ?s :p+ ?o OPTIONAL { ?o :q ?v } ?v :p* ?w }").count() == 4 * (7 + 6)
