@@ -27,7 +27,7 @@ FILL = 255
 #: Compression, predictor and tile of the stored pages; most are deflated, as that is the smallest and fastest.
 LAYOUTS = (
     (tiff.DEFLATE, 1, None), (tiff.DEFLATE, 2, None), (tiff.DEFLATE, 1, (16, 192)), (tiff.DEFLATE, 2, (32, 96)),
-    (tiff.DEFLATE, 1, None), (tiff.LZW, 1, None), (tiff.LZW, 2, (16, 288)), (tiff.PACKBITS, 1, None),
+    (tiff.DEFLATE, 1, None), (tiff.LZW, 1, None), (tiff.PACKBITS, 2, (16, 192)), (tiff.PACKBITS, 1, None),
 )
 #: Output rows are handed over once they hold so many bytes.
 FLUSH_BYTES = 16 << 20

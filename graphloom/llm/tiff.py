@@ -7,6 +7,7 @@ planar samples of 1, 2, 4, 8, 16, 32 or 64 bits, no compression, PackBits, LZW a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,27 +56,24 @@ def unpack_bits(raw: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(raw: bytes) -> bytes:
-    out, at, literal = bytearray(), 0, bytearray()
+    """Runs of three bytes or more as such, what is between them as literals."""
+    out, at = bytearray(), 0
 
-    def flush():
-        for lo in range(0, len(literal), 128):
-            part = literal[lo : lo + 128]
+    def literal(lo: int, hi: int) -> None:
+        for k in range(lo, hi, 128):
+            part = raw[k : min(k + 128, hi)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
-
-    while at < len(raw):
-        end = at + 1
-        while end < len(raw) and end - at < 128 and raw[end] == raw[at]:
-            end += 1
-        if end - at >= 3:
-            flush()
-            out.extend((257 - (end - at), raw[at]))
-        else:
-            literal.extend(raw[at:end])
-        at = end
-    flush()
+
+    for m in _RUN.finditer(raw):
+        literal(at, m.start())
+        at = m.end()
+        out += bytes([257 - (at - m.start()), raw[m.start()]])
+    literal(at, len(raw))
     return bytes(out)
 
 
@@ -114,37 +112,39 @@ def unpack_lzw(raw: bytes, size: int) -> bytes:
 
 
 def pack_lzw(raw: bytes) -> bytes:
-    codes, known, prefix, wide = [(CLEAR, 9)], {bytes([i]): i for i in range(256)}, b"", 9
-    following = 258
-    for i in range(len(raw)):
-        longer = prefix + raw[i : i + 1]
-        if longer in known:
-            prefix = longer
+    """Codes by a table of (code, next byte); their bits are put together at once."""
+    codes, widths = [CLEAR], [9]
+    known: dict[int, int] = {}
+    following, wide, grows, prefix = 258, 9, 512, -1
+    for byte in raw:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        code = known.get(key)
+        if code is not None:
+            prefix = code
             continue
-        codes.append((known[prefix], wide))
-        known[longer] = following
+        codes.append(prefix)
+        widths.append(wide)
+        known[key] = following
         following += 1
-        wide = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        if following == grows:
+            wide, grows = wide + 1, grows * 2
         if following == 4094:
-            codes.append((CLEAR, wide))
-            known, following, wide = {bytes([k]): k for k in range(256)}, 258, 9
-        prefix = raw[i : i + 1]
-    if prefix:
-        codes.append((known[prefix], wide))
-        following += 1
-        wide = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    codes.append((END, wide))
-    held = have = 0
-    out = bytearray()
-    for code, bits in codes:
-        held, have = (held << bits) | code, have + bits
-        while have >= 8:
-            have -= 8
-            out.append(held >> have)
-            held &= (1 << have) - 1
-    if have:
-        out.append((held << (8 - have)) & 255)
-    return bytes(out)
+            codes.append(CLEAR)
+            widths.append(wide)
+            known, following, wide, grows = {}, 258, 9, 512
+        prefix = byte
+    if prefix >= 0:
+        codes.append(prefix)
+        widths.append(wide)
+        if following + 1 == grows:
+            wide += 1
+    codes.append(END)
+    widths.append(wide)
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) >= 16 - np.array(widths)[:, None]]).tobytes()
 
 
 def _inflate(raw: bytes, compression: int, size: int) -> bytes:

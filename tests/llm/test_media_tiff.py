@@ -93,3 +93,35 @@ def test_documents(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
     assert got[5][1:] == got[6][1:]
     assert media_tiff.digests(media_tiff.store(df.limit(0))).count() == 0
+
+
+def claimed(width, height, rows, at=(8,), sizes=(1,), tile=None, bits=8):
+    """A small file whose header claims a size."""
+    entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, bits), (259, 3, 1, 1), (277, 3, 1, 1)]
+    entries += [(322, 4, 1, tile[0]), (323, 4, 1, tile[1]), (324, 4, 1, at[0]), (325, 4, 1, sizes[0])] if tile else [(273, 4, 1, at[0]), (278, 4, 1, rows), (279, 4, 1, sizes[0])]
+    body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries)) + bytes(4)
+    return b"II" + struct.pack("<HI", 42, 16) + b"x" * 8 + body
+
+
+def test_hostile_sizes_are_errors(spark):
+    top = 2**31 - 1
+    files = [claimed(1, top, 1), claimed(top, top, top), claimed(16, 16, 16, tile=(2**30, 2**30)), claimed(0, 5, 1), claimed(5, 5, 0), claimed(top, 1, 1, bits=64), claimed(16, 16, 16, tile=(0, 16))]
+    assert all(len(f) < 200 for f in files)
+    got = media_tiff.pages(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    assert len(got) == len(files) and all(r.error and r.pixels is None for r in got)
+
+
+@pytest.mark.parametrize("layout", media_tiff.LAYOUTS)
+def test_each_layout_gives_the_payload_back(spark, layout):
+    texts = ["", "short", "line of text\n" * 700, "\xff\x00é" * 3000, "a" * 576 * 33]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media_tiff.digests(media_tiff.store(df, (layout,))).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (r.payload_bytes, r.payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
+
+
+def test_a_stored_page_that_cannot_be_read_is_an_error(spark):
+    df = spark.createDataFrame([(1, 3, b"II*\0junk")], "doc_id long, n_bytes long, media binary")
+    with pytest.raises(Exception, match="can't be read"):
+        media_tiff.digests(df).collect()
