@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -163,19 +164,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """Staged ids: two or four bytes each, compressed."""
+@cache
+def _zstd():
+    """The worker's own compressor and decompressor: making them costs more than most texts' ids."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Staged ids: two or four bytes each, compressed."""
     planes = ids.astype("<u2") if not len(ids) or ids.max() < 65536 else ids
-    wide = planes.dtype.itemsize
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([planes.dtype.itemsize]) + _zstd()[0].compress(planes.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.uint32)
+    return np.frombuffer(_zstd()[1].decompress(raw[1:]), f"<u{raw[0]}").astype(np.uint32)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
