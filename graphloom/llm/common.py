@@ -47,6 +47,15 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd", split_bytes: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(side: DataFrame) -> DataFrame:
+    """side, whose join is by a shuffle of both sides, however small Spark takes it for.
+
+    Estimates come from the bytes of compressed files, so a side that grows with the input can be many times its estimate
+    once it is a hash table in the driver's memory, and some such tables are there at once.
+    """
+    return side.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_SIMILARITY, SHINGLE_WORDS, boxed, digest, stage, table, unboxed
+from .common import MIN_SIMILARITY, SHINGLE_WORDS, boxed, by_key, digest, stage, table, unboxed
 from .prob_minhash import bands, mix64, signatures
 from .token_output import pieces
 
@@ -154,7 +154,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     plain = docs.select(_row_key(F.col("doc_id"), digest()).alias("own"), F.col("text").cast("string").alias("text"))
     keyed = wanted.select("node", _row_key(F.col("low"), F.col("digest")).alias("key"))
-    joined = plain.join(keyed, F.col("own") == F.col("key")).select("node", "text")
+    joined = plain.join(by_key(keyed), F.col("own") == F.col("key")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +179,7 @@ _PAIR = ("a", "da", "b", "db")
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (a, da, b, db) whose texts are alike."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"), F.col("counts").alias(f"counts_{k}"))
+    side = lambda k: by_key(sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"), F.col("counts").alias(f"counts_{k}")))
     both = pairs.select(*_PAIR).distinct().join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def components(links: DataFrame) -> DataFrame:
         roots = stage(rest.groupBy(F.col("a").alias("node")).agg(top).select("node", "top.label", "top.dl", F.lit(True).alias("moved")), "roots")
         while not roots.where("moved").isEmpty():
             far = roots.select(F.col("node").alias("label"), F.col("label").alias("to"), F.col("dl").alias("dt"))
-            jumped = roots.drop("moved").join(far, "label", "left")
+            jumped = roots.drop("moved").join(by_key(far), "label", "left")
             roots = stage(jumped.select("node", F.coalesce("to", "label").alias("label"), F.coalesce("dt", "dl").alias("dl"), F.col("to").isNotNull().alias("moved")), "roots")
         roots = roots.drop("moved")
         done = roots if done is None else stage(_through(done, roots), "roots")
@@ -216,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
 def _through(labels: DataFrame, more: DataFrame) -> DataFrame:
     """labels whose own labels have moved on, and those of `more`."""
     far = more.select(F.col("node").alias("label"), F.col("label").alias("to"), F.col("dl").alias("dt"))
-    moved = labels.join(far, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.coalesce("dt", "dl").alias("dl"))
+    moved = labels.join(by_key(far), "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.coalesce("dt", "dl").alias("dl"))
     return moved.unionByName(more)
 
 
@@ -229,7 +229,7 @@ def _ranked(x: tuple[str, str], y: tuple[str, str]) -> list[Column]:
 
 def _relinked(links: DataFrame, labels: DataFrame) -> DataFrame:
     """The links between the labels of what is linked; none within one label."""
-    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("dl").alias(f"m{k}"))
+    side = lambda k: by_key(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("dl").alias(f"m{k}")))
     both = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
     named = both.select(*(F.coalesce(f"l{k}", k).alias(f"l{k}") for k in "ab"), *(F.coalesce(f"m{k}", f"d{k}").alias(f"m{k}") for k in "ab"))
     return named.where("la <> lb").select(*_ranked(("la", "ma"), ("lb", "mb"))).distinct()
@@ -295,14 +295,14 @@ def _last_pairs(rows: DataFrame) -> DataFrame:
     shingle's main component (that of the highest degree) are only held against the others.
     """
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max(F.struct("dl", "label")).alias("t")).where("l < m").select("bucket", F.col("t.label").alias("main"))
-    held = stage(rows.join(open_, "bucket").withColumn("out", F.col("label") != F.col("main")).drop("main"), "prefix-buckets")
+    held = stage(rows.join(by_key(open_), "bucket").withColumn("out", F.col("label") != F.col("main")).drop("main"), "prefix-buckets")
     # side 0: the early ones outside against the main component; side 1: all early ones against those outside
     named = lambda df, k: df.select("bucket", "side", *(F.col(c).alias(c + k) for c in ("node", "degree", "label", "size", "rest", "mass", "many")))
     x = named(held.where("early").withColumn("side", F.explode(F.when(F.col("out"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))), "a")
     y = named(held.withColumn("side", F.col("out").cast("int")), "b")
     by_set = F.least("resta", "restb") * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("sizea") + F.col("sizeb")) - 1e-6
     by_mass = (F.col("manya") | F.col("manyb")) & (F.least("massa", "massb") >= MIN_SIMILARITY - 1e-6)
-    return x.join(y, ["bucket", "side"]).where((F.col("labela") != F.col("labelb")) & (by_set | by_mass)).select(*_ranked(("nodea", "degreea"), ("nodeb", "degreeb")))
+    return x.join(by_key(y), ["bucket", "side"]).where((F.col("labela") != F.col("labelb")) & (by_set | by_mass)).select(*_ranked(("nodea", "degreea"), ("nodeb", "degreeb")))
 
 
 def _with_degrees(nodes: DataFrame) -> DataFrame:
@@ -313,21 +313,21 @@ def _with_degrees(nodes: DataFrame) -> DataFrame:
     """
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    held = stage(buckets.join(full, "bucket"), "buckets")
+    held = stage(buckets.join(by_key(full), "bucket"), "buckets")
     degrees = held.groupBy("node").agg(F.sum("n").alias("degree"))
-    return stage(held.select("bucket", "node").join(degrees, "node"), "buckets")
+    return stage(held.select("bucket", "node").join(by_key(degrees), "node"), "buckets")
 
 
 def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, label of the components of all links between texts that share a bucket; nodes that aren't there are their own label."""
     buckets = _with_degrees(nodes)
-    members = stage(buckets.select("node", "degree").distinct().join(nodes.select("node", "digest", "low"), "node"), "members")
+    members = stage(buckets.select("node", "degree").distinct().join(by_key(nodes.select("node", "digest", "low")), "node"), "members")
     sets = stage(sets_of(docs, members), "shingle-sets", codec="none")
     centres = buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("c"))
-    rays = buckets.join(centres, "bucket").where("node <> c.node").select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("c.node").alias("b"), F.col("c.degree").alias("db"))
+    rays = buckets.join(by_key(centres), "bucket").where("node <> c.node").select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("c.node").alias("b"), F.col("c.degree").alias("db"))
     labels = components(verified(rays, sets))
-    marked = members.select("node", "degree").join(labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "dl": F.coalesce("dl", "degree")})
-    rows = stage(_prefixes(stage(marked.join(sets, "node"), "marked-sets", codec="none")), "prefixes")
+    marked = members.select("node", "degree").join(by_key(labels), "node", "left").withColumns({"label": F.coalesce("label", "node"), "dl": F.coalesce("dl", "degree")})
+    rows = stage(_prefixes(stage(marked.join(by_key(sets), "node"), "marked-sets", codec="none")), "prefixes")
     found = stage(verified(_last_pairs(rows), sets), "links")
     if found.isEmpty():
         return labels
@@ -339,7 +339,7 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = stage(banded(docs).withColumn("row", F.monotonically_increasing_id()), "bands")
     nodes = stage(nodes_of(rows), "nodes")
     labels = link(docs, nodes).select("node", "label")
-    texts = stage(nodes.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "texts")
+    texts = stage(nodes.drop("bands").join(by_key(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "texts")
     per_class = texts.groupBy("label").agg(F.min("low").alias("low"), F.sum("n").alias("class_size"), F.min("first").alias("first"), F.min("digest").alias("name"))
     class_id = F.coalesce("low", -F.abs(F.xxhash64("name")) - 1)
     return rows.drop("bands"), texts.select(F.col("digest").alias("of"), "label"), per_class.select("label", class_id.alias("class_id"), "class_size", "first")
@@ -363,7 +363,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.xxhash64(*(F.col(f"`{c.name}`") for c in docs.schema if _hashable(c.dataType)))
     rows = boxed(docs, _row_key(F.col("doc_id"), digest()).alias("own_key"), order.alias("own_order"))
     # rows alike in doc_id and text are one document; the semi join and the grouping share a shuffle
-    one = rows.join(kept, F.col("own_key") == F.col("kept_key"), "left_semi").groupBy("own_key").agg(F.min_by("row_box", "own_order").alias("row_box"))
+    one = rows.join(by_key(kept), F.col("own_key") == F.col("kept_key"), "left_semi").groupBy("own_key").agg(F.min_by("row_box", "own_order").alias("row_box"))
     return unboxed(one, docs.columns)
 
 

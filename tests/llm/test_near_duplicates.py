@@ -197,3 +197,25 @@ def test_near_copies_with_repeated_lines(spark):
         got[r.class_id].append(r.doc_id)
     assert sorted(tuple(sorted(v)) for v in got.values()) == brute(found)
     assert len(got) == 32 + 8
+
+
+def plans_of(spark, made):
+    """The plans of all that runs when a table is made and written."""
+    listeners, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def ran():
+        listeners.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in (found.apply(k) for k in range(found.size()))}
+
+    before = ran()
+    made().write.format("noop").mode("overwrite").save()
+    return [plan for k, plan in ran().items() if k not in before]
+
+
+def test_keep_one_broadcasts_no_table(spark):
+    """Sides that grow with the input don't go through the driver, however few bytes their files have."""
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    plans = plans_of(spark, lambda: nd.keep_one(docs))
+    assert sum("SortMergeJoin" in x for x in plans) > 5
+    assert not [x for x in plans if "BroadcastExchange" in x]
