@@ -348,8 +348,8 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, class_size, kept of each row; one row of each class is kept."""
     rows, texts, per_class = _classed(docs)
-    facts = texts.join(per_class, "label").select("of", "class_id", "class_size", F.col("first.row").alias("first_row"))
-    done = rows.join(facts, F.col("digest") == F.col("of"))
+    facts = texts.join(by_key(per_class), "label").select("of", "class_id", "class_size", F.col("first.row").alias("first_row"))
+    done = rows.join(by_key(facts), F.col("digest") == F.col("of"))
     return done.select("doc_id", "digest", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
 
 

@@ -219,3 +219,10 @@ def test_keep_one_broadcasts_no_table(spark):
     plans = plans_of(spark, lambda: nd.keep_one(docs))
     assert sum("SortMergeJoin" in x for x in plans) > 5
     assert not [x for x in plans if "BroadcastExchange" in x]
+
+
+def test_classes_broadcast_no_table(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    plans = plans_of(spark, lambda: nd.classes(docs))
+    assert sum("SortMergeJoin" in x for x in plans) > 5
+    assert not [x for x in plans if "BroadcastExchange" in x]
