@@ -304,3 +304,15 @@ def test_closure_of_bound_subjects(spark):
     assert [(r.s[-1], r.v) for r in plain(query(g, text)).collect()] == [("a", "5")]
     # six pairs; the two that bind ?v bind it to a literal, from which no path begins; the others go with 7 nodes and 6 pairs
     assert query(g, "PREFIX : <http://e/> SELECT * WHERE { ?s :p+ ?o OPTIONAL { ?o :q ?v } ?v :p* ?w }").count() == 4 * (7 + 6)
+
+
+def test_an_outer_join_without_a_key_is_no_broadcast_of_a_side(spark):
+    data = ":a a :T . :b a :T ; :likes :x . :x :name 'x' . :y :name 'y' ."
+    text = "PREFIX : <http://e/> SELECT ?s ?o ?n WHERE { ?s a :T OPTIONAL { ?s :likes ?o } OPTIONAL { ?o :%s ?n } }"
+    g = rdf.from_text(spark, P + data)
+    e = "http://e/"
+    assert sorted(map(tuple, plain(query(g, text % "name")).collect())) == [(e + "a", e + "x", "x"), (e + "a", e + "y", "y"), (e + "b", e + "x", "x")]
+    # nothing to go with: the rows are kept
+    assert sorted(plain(query(g, text % "none")).collect(), key=lambda r: r["s"]) == [(e + "a", None, None), (e + "b", e + "x", None)]
+    planned = query(g, text % "name")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in planned.splitlines() if "BroadcastNestedLoopJoin" in line and "LeftOuter" in line]
