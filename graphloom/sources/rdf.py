@@ -11,17 +11,20 @@ import json
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import LANG_STRING, RDF, TYPE, XSD, Term, resource, term
-from ..operators.graph import FrameGraph
-from .turtle import RdfSyntaxError, parse
+from ..operators.graph import FrameGraph, spread
+from .turtle import RdfSyntaxError, TurtleParser
 
 FORMATS = ("turtle", "ntriples", "nquads", "rdfxml", "jsonld", "trig", "n3")
 SUFFIXES = {"ttl": "turtle", "nt": "ntriples", "nq": "nquads", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "jsonld": "jsonld", "trig": "trig", "n3": "n3"}
 
+# What of a document is in memory at once beside its text, and the text of a document that is written.
+XML_PIECE, BATCH_ROWS, BATCH_CHARS, DOCUMENT_BYTES = 1 << 16, 10_000, 4 << 20, 4 << 20
+
 _RESOURCE = r"<([^<>\x00-\x20]*)>|(_:[A-Za-z0-9_][A-Za-z0-9_.\-]*)"
 # possessive: a long literal must not be walked by recursion
 _LITERAL = r'"((?:[^"\\\n\r]++|\\.)*+)"(?:\^\^<([^<>\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
@@ -59,8 +62,8 @@ def from_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
     return cut.select(node(1, 2).alias("s"), part(3).alias("p"), obj.alias("o"), node(10, 11).alias("g"))
 
 
-def parse_xml(text: str, base: str = "", scope: str = "") -> list[tuple[str, str, Term]]:
-    """RDF/XML: node and property elements, types, resources, literals, nested nodes and collections."""
+def parse_xml(text: str, base: str = "", scope: str = "") -> Iterator[list[tuple[str, str, Term]]]:
+    """RDF/XML: node and property elements, types, resources, literals, nested nodes and collections; the triples of each outer node, which is then let go."""
     out: list[tuple[str, str, Term]] = []
     count = 0
     xml = "{http://www.w3.org/XML/1998/namespace}"
@@ -129,17 +132,31 @@ def parse_xml(text: str, base: str = "", scope: str = "") -> list[tuple[str, str
             dt = e.get(rdf + "datatype")
             out.append((me.lex, p, Term("literal", e.text or "", absolute(dt) if dt else LANG_STRING if lang else XSD + "string", "" if dt else lang.lower())))
 
+    root, depth = None, 0
+    parser = ElementTree.XMLPullParser(("start", "end"))
     try:
-        root = ElementTree.fromstring(text)
+        for at in range(0, max(len(text), 1), XML_PIECE):
+            parser.feed(text[at : at + XML_PIECE])
+            # the last piece is followed by the end, at which a document that isn't whole is an error
+            if at + XML_PIECE >= len(text):
+                parser.close()
+            for event, e in parser.read_events():
+                if event == "start":
+                    root, depth = (e if root is None else root), depth + 1
+                    continue
+                depth, within = depth - 1, root.tag == rdf + "RDF"
+                if depth == int(within):
+                    node(e, root.get(xml + "lang", ""))
+                    if within:
+                        del root[:]
+                    yield out
+                    out = []
     except ElementTree.ParseError as e:
         raise RdfSyntaxError(str(e)) from e
-    for e in list(root) if root.tag == rdf + "RDF" else [root]:
-        node(e, root.get(xml + "lang", ""))
-    return out
 
 
-def parse_jsonld(text: str, scope: str = "") -> list[tuple[str, str, Term]]:
-    """JSON-LD with inline contexts: prefixes, terms, @vocab, @id, @type, @value, @language, @list, @graph, @reverse is not read."""
+def parse_jsonld(text: str, scope: str = "") -> Iterator[list[tuple[str, str, Term]]]:
+    """JSON-LD with inline contexts: prefixes, terms, @vocab, @id, @type, @value, @language, @list, @graph, @reverse is not read. The triples of each outer node."""
     out: list[tuple[str, str, Term]] = []
     count = 0
 
@@ -188,12 +205,16 @@ def parse_jsonld(text: str, scope: str = "") -> list[tuple[str, str, Term]]:
         lang = hint.get("@language", ctx.get("@language", "")) if not dt else ""
         return Term("literal", v, expand(ctx, dt) if dt else LANG_STRING if lang else XSD + "string", lang.lower())
 
-    def node(ctx: dict, e: dict) -> Term:
+    def within(ctx: dict, e: dict) -> dict:
         for c in (x for x in [e.get("@context")] if x):
             for one in c if isinstance(c, list) else [c]:
                 if not isinstance(one, dict):
                     raise RdfSyntaxError("only inline contexts are read")
                 ctx = {**ctx, **one}
+        return ctx
+
+    def node(ctx: dict, e: dict) -> Term:
+        ctx = within(ctx, e)
         alias = {k: v for k, v in ctx.items() if isinstance(v, str) and v.startswith("@")}
         e = {alias.get(k, k): v for k, v in e.items()}
         if e.get("@id") is not None:
@@ -223,16 +244,20 @@ def parse_jsonld(text: str, scope: str = "") -> list[tuple[str, str, Term]]:
     except ValueError as e:
         raise RdfSyntaxError(str(e)) from e
     for e in doc if isinstance(doc, list) else [doc]:
-        node({}, e)
-    return out
+        # an object that only holds a graph has no triples of its own
+        ctx, inner = ({}, [e]) if e.keys() - {"@context", "@graph"} else (within({}, e), e.get("@graph", []))
+        for one in inner:
+            node(ctx, one)
+            yield out
+            out = []
 
 
-def parse_text(text: str, kind: str, base: str = "", mode: str = "strict", scope: str = "") -> list[tuple[str, str, Term]]:
-    """Driver triples of a document."""
+def parse_parts(text: str, kind: str, base: str = "", mode: str = "strict", scope: str = "") -> Iterator[list[tuple[str, str, Term]]]:
+    """The triples of a document's statements or outer nodes, one after the other."""
     if kind in ("trig", "n3"):
         raise RdfSyntaxError(f"reading {kind} isn't supported")
     if kind in ("turtle", "ntriples"):
-        return parse(text, base, mode == "strict", scope)[0]
+        return TurtleParser(text, base, mode == "strict", scope).statements()
     if kind == "rdfxml":
         return parse_xml(text, base, scope)
     if kind == "jsonld":
@@ -240,6 +265,26 @@ def parse_text(text: str, kind: str, base: str = "", mode: str = "strict", scope
     raise RdfSyntaxError(f"no such format: {kind}")
 
 
+def parse_text(text: str, kind: str, base: str = "", mode: str = "strict", scope: str = "") -> list[tuple[str, str, Term]]:
+    """Driver triples of a document."""
+    return [t for part in parse_parts(text, kind, base, mode, scope) for t in part]
+
+
+def _arrow_rows(parts: Iterator[list[tuple[str, str, Term]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded size, made as the parser goes on."""
+    names = ("s", "p", "k", "lex", "dt", "lang")
+    rows, held = [], 0
+    for part in parts:
+        for s, p, o in part:
+            rows.append((s, p, o.k, o.lex, o.dt, o.lang))
+            held += len(o.lex)
+            if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+
+
 def read_rdf(spark: SparkSession, path: str | list[str], kind: str | None = None, base: str = "", mode: str = "strict") -> FrameGraph:
     """The graph of files; several are merged as sets. Blank nodes of Turtle, RDF/XML and JSON-LD files are kept apart by file."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -252,20 +297,19 @@ def read_rdf(spark: SparkSession, path: str | list[str], kind: str | None = None
         elif own in ("turtle", "rdfxml", "jsonld"):
             docs = spark.read.text(p, wholetext=True).select("value", F.substring(F.sha2(F.col("_metadata.file_path"), 256), 1, 10).alias("scope"))
 
-            def run(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
+            def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    for text, scope in zip(batch["value"], batch["scope"]):
-                        rows = parse_text(text, own, base, mode, f"{scope}_")
-                        yield pd.DataFrame([(s, q, o.k, o.lex, o.dt, o.lang) for s, q, o in rows], columns=["s", "p", "k", "lex", "dt", "lang"])
+                    for k in range(batch.num_rows):
+                        yield from _arrow_rows(parse_parts(batch.column(0)[k].as_py(), own, base, mode, f"{batch.column(1)[k].as_py()}_"))
 
-            flat = docs.mapInPandas(run, "s string, p string, k string, lex string, dt string, lang string")
+            flat = docs.mapInArrow(run, "s string, p string, k string, lex string, dt string, lang string")
             parts.append(flat.select("s", "p", term(F.col("k"), F.col("lex"), F.col("dt"), F.col("lang")).alias("o")))
         else:
             raise RdfSyntaxError(f"reading {own} isn't supported")
     out = parts[0]
     for df in parts[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
-    return FrameGraph(out.dropDuplicates())
+    return FrameGraph(spread(out, *out.columns).dropDuplicates())
 
 
 def from_text(spark: SparkSession, text: str, kind: str = "turtle", base: str = "", mode: str = "strict") -> FrameGraph:
@@ -335,30 +379,32 @@ def to_json_nodes(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit('{"@id": '), text(F.col("s")), F.lit(", "), text(F.col("p")), F.lit(": ["), value, F.lit("]}")).alias("value"))
 
 
-def _documents(items: DataFrame, per_document: int, begin: str, between: str, end: str) -> DataFrame:
-    """value, document: the items in whole documents of about per_document each."""
-    parts = max(1, -(-items.count() // per_document))
+def _documents(df: DataFrame, items: DataFrame, per_document: int, begin: str, between: str, end: str) -> DataFrame:
+    """value, document: the items of the triples in whole documents of about per_document each, or of DOCUMENT_BYTES if their texts are long."""
+    many, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("o.lex")), F.lit(0))).first()
+    parts = max(1, -(-many // per_document), -(-size // DOCUMENT_BYTES))
     placed = items.withColumn("document", F.pmod(F.xxhash64("value"), F.lit(parts)))
     joined = placed.groupBy("document").agg(F.array_join(F.collect_list("value"), between).alias("value"))
     return joined.select(F.concat(F.lit(begin), "value", F.lit(end)).alias("value"), "document")
 
 
 def write_rdf(df: DataFrame, path: str, compression: str = "none", kind: str = "ntriples", per_document: int = 20_000) -> None:
-    """Files of a format: lines of N-Triples and N-Quads and blocks of Turtle as they come; RDF/XML and JSON-LD in documents of about per_document triples, a file each."""
+    """Files of a format: lines of N-Triples and N-Quads as they come; Turtle in files of per_document subjects at most; RDF/XML and JSON-LD in documents of about per_document triples, a file each."""
     if kind in ("ntriples", "nquads"):
         out = to_lines(df)
     elif kind == "turtle":
         out = to_blocks(df.select("s", "p", "o"))
     elif kind == "rdfxml":
-        out = _documents(to_xml_elements(df), per_document, f'<rdf:RDF xmlns:rdf="{RDF}">\n', "\n", "\n</rdf:RDF>")
+        out = _documents(df, to_xml_elements(df), per_document, f'<rdf:RDF xmlns:rdf="{RDF}">\n', "\n", "\n</rdf:RDF>")
     elif kind == "jsonld":
-        out = _documents(to_json_nodes(df), per_document, '{"@graph": [\n', ",\n", "\n]}")
+        out = _documents(df, to_json_nodes(df), per_document, '{"@graph": [\n', ",\n", "\n]}")
     else:
         raise RdfSyntaxError(f"writing {kind} isn't supported")
     if "document" in out.columns:
         out.repartition("document").write.option("compression", compression).partitionBy("document").text(path)
     else:
-        out.write.option("compression", compression).text(path)
+        # lines are read by line, Turtle by whole files
+        out.write.option("compression", compression).option("maxRecordsPerFile", per_document if kind == "turtle" else 0).text(path)
 
 
 def to_turtle(df: DataFrame, prefixes: dict[str, str] | None = None, most: int = 100_000) -> str:

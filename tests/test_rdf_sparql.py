@@ -316,3 +316,33 @@ def test_an_outer_join_without_a_key_is_no_broadcast_of_a_side(spark):
     assert sorted(plain(query(g, text % "none")).collect(), key=lambda r: r["s"]) == [(e + "a", None, None), (e + "b", e + "x", None)]
     planned = query(g, text % "name")._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in planned.splitlines() if "BroadcastNestedLoopJoin" in line and "LeftOuter" in line]
+
+
+def test_documents_are_parsed_statement_by_statement():
+    """What is made of a long document comes before its end is looked at: the triples aren't all held at once."""
+    turtle = P + ":a :p 1 . :b :p 2 . :c :p [ "
+    xml = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/">' + '<rdf:Description rdf:about="http://e/a"><e:p>x</e:p></rdf:Description>' * 5000 + "<e:q>"
+    for text, kind, least in ((turtle, "turtle", 2), (xml, "rdfxml", 4000)):
+        seen = 0
+        with pytest.raises(RdfSyntaxError):
+            for part in rdf.parse_parts(text, kind):
+                seen += len(part)
+        assert seen >= least
+        with pytest.raises(RdfSyntaxError):
+            rdf.parse_text(text, kind)
+    doc = '{"@context": {"@vocab": "http://e/"}, "@graph": [{"@id": "http://e/a", "p": 1}, {"@id": "http://e/b", "p": [2, 3]}]}'
+    assert [len(x) for x in rdf.parse_parts(doc, "jsonld")] == [1, 2]
+    # text that is no token isn't skipped in lax mode
+    with pytest.raises(RdfSyntaxError):
+        parse(P + ":a :p 1 . ~ :b :p 2 .", strict=False)
+
+
+def test_written_documents_are_bounded(spark, tmp_path):
+    df = spark.range(5000).select(F.concat(F.lit("http://e/s"), F.col("id").cast("string")).alias("s"), F.lit("http://e/p").alias("p"), F.lit("x" * 3000).alias("lex"))
+    g = df.select("s", "p", rdf.term("literal", F.col("lex"), XSD + "string").alias("o"))
+    for kind, most in (("turtle", 1000 * 3100), ("rdfxml", 1.3 * rdf.DOCUMENT_BYTES), ("jsonld", 1.3 * rdf.DOCUMENT_BYTES)):
+        rdf.write_rdf(g, f"file://{tmp_path}/{kind}", kind=kind, per_document=1000 if kind == "turtle" else 20_000)
+        files = list((tmp_path / kind).rglob("part-*"))
+        assert len(files) > 3 and max(x.stat().st_size for x in files) < most
+        again = rdf.read_rdf(spark, f"file://{tmp_path}/{kind}", kind).triples()
+        assert again.count() == again.where(F.length("o.lex") == 3000).select("s").distinct().count() == 5000
