@@ -384,7 +384,7 @@ def _documents(df: DataFrame, items: DataFrame, per_document: int, begin: str, b
     many, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("o.lex")), F.lit(0))).first()
     parts = max(1, -(-many // per_document), -(-size // DOCUMENT_BYTES))
     placed = items.withColumn("document", F.pmod(F.xxhash64("value"), F.lit(parts)))
-    joined = placed.groupBy("document").agg(F.array_join(F.collect_list("value"), between).alias("value"))
+    joined = spread(placed, "document").groupBy("document").agg(F.array_join(F.collect_list("value"), between).alias("value"))
     return joined.select(F.concat(F.lit(begin), "value", F.lit(end)).alias("value"), "document")
 
 
@@ -401,7 +401,8 @@ def write_rdf(df: DataFrame, path: str, compression: str = "none", kind: str = "
     else:
         raise RdfSyntaxError(f"writing {kind} isn't supported")
     if "document" in out.columns:
-        out.repartition("document").write.option("compression", compression).partitionBy("document").text(path)
+        # a document is one row
+        out.write.option("compression", compression).partitionBy("document").text(path)
     else:
         # lines are read by line, Turtle by whole files
         out.write.option("compression", compression).option("maxRecordsPerFile", per_document if kind == "turtle" else 0).text(path)

@@ -346,3 +346,12 @@ def test_written_documents_are_bounded(spark, tmp_path):
         assert len(files) > 3 and max(x.stat().st_size for x in files) < most
         again = rdf.read_rdf(spark, f"file://{tmp_path}/{kind}", kind).triples()
         assert again.count() == again.where(F.length("o.lex") == 3000).select("s").distinct().count() == 5000
+
+
+def test_documents_are_shuffled_once_to_all_tasks(spark, tmp_path):
+    """Neither the rows that are read nor the documents that are written are put in few large tasks, however well they compress."""
+    g = FrameGraph(spark.range(20_000).select(F.concat(F.lit("http://e/s"), F.col("id").cast("string")).alias("s"), F.lit("http://e/p").alias("p"), rdf.resource(F.lit("http://e/o")).alias("o")))
+    rdf.write_rdf(g.triples(), f"file://{tmp_path}/x", kind="jsonld", per_document=100)
+    files = list((tmp_path / "x").rglob("part-*"))
+    assert len(files) == 200 and len({x.name.split("-")[1] for x in files}) == 8
+    assert rdf.read_rdf(spark, f"file://{tmp_path}/x", "jsonld").triples().rdd.getNumPartitions() == 8
