@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import TYPE, key_of
-from .graph import Graph
+from .graph import Graph, spread
 
 
 def graph_stats(graph: Graph) -> DataFrame:
@@ -30,10 +30,13 @@ def property_partition(graph: Graph) -> DataFrame:
 
 
 def class_property_partition(graph: Graph) -> DataFrame:
-    """class, property, triples, entities."""
-    types = graph.pattern(p=TYPE).select("s", F.col("o.lex").alias("class"))
-    arcs = graph.triples().where(F.col("p") != TYPE).select("s", F.col("p").alias("property"))
-    return types.join(arcs, "s").groupBy("class", "property").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("entities"))
+    """class, property, triples, entities.
+
+    A subject's triples are counted first, so no set of entities is kept for a class; both sides go by subject, and neither is broadcast.
+    """
+    types = spread(graph.pattern(p=TYPE).select("s", F.col("o.lex").alias("class")), "s").groupBy("s", "class").agg(F.count(F.lit(1)).alias("m"))
+    arcs = spread(graph.triples().where(F.col("p") != TYPE).select("s", F.col("p").alias("property")), "s").groupBy("s", "property").agg(F.count(F.lit(1)).alias("n"))
+    return types.join(arcs.hint("merge"), "s").groupBy("class", "property").agg(F.sum(F.col("n") * F.col("m")).alias("triples"), F.count(F.lit(1)).alias("entities"))
 
 
 def usage(graph: Graph) -> DataFrame:
@@ -51,9 +54,9 @@ def conformance_metrics(graph: Graph, properties: DataFrame) -> DataFrame:
     class (the highest, if there are several) has the property and the subject no more values than allowed;
     a property of the schema without any triple is lost.
     """
-    types = graph.pattern(p=TYPE).groupBy("s").agg(F.max("o.lex").alias("class"))
-    arcs = graph.triples().where(F.col("p") != TYPE).groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
-    typed = arcs.join(types, "s", "left")
+    types = spread(graph.pattern(p=TYPE).select("s", "o.lex"), "s").groupBy("s").agg(F.max("lex").alias("class"))
+    arcs = spread(graph.triples().where(F.col("p") != TYPE).select("s", "p"), "s").groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
+    typed = arcs.join(types.hint("merge"), "s", "left")
     known = typed.join(properties.withColumnRenamed("property", "p"), ["class", "p"], "left")
     has = properties.withColumn("known", F.lit(1)).select("class", F.col("property").alias("p"), "known")
     marked = known.join(has, ["class", "p"], "left").withColumn("good", F.col("known").isNotNull() & (F.col("most").isNull() | (F.col("n") <= F.col("most"))))

@@ -355,3 +355,19 @@ def test_documents_are_shuffled_once_to_all_tasks(spark, tmp_path):
     files = list((tmp_path / "x").rglob("part-*"))
     assert len(files) == 200 and len({x.name.split("-")[1] for x in files}) == 8
     assert rdf.read_rdf(spark, f"file://{tmp_path}/x", "jsonld").triples().rdd.getNumPartitions() == 8
+
+
+def test_statistics_go_by_subject(spark):
+    """A triple that is stated of a subject with two classes counts in both; no side of the join is broadcast, whatever its files' size."""
+    from graphloom.operators import stats
+
+    g = rdf.from_text(spark, P + ":a a :T, :U ; :p 1, 2 ; :q 1 . :b a :T ; :p 3 . :c :p 4 .")
+    e = "http://e/"
+    found = stats.class_property_partition(g)
+    assert sorted(map(tuple, found.collect())) == [(e + "T", e + "p", 3, 2), (e + "T", e + "q", 1, 1), (e + "U", e + "p", 2, 1), (e + "U", e + "q", 1, 1)]
+    schema = spark.createDataFrame([(e + "T", e + "p", 1), (e + "U", e + "q", None), (e + "U", e + "r", 1)], "class string, property string, most int")
+    metrics = stats.conformance_metrics(g, schema)
+    assert tuple(metrics.first())[:2] == (5, 2)
+    for df, joins in ((found, 1), (metrics, 1)):
+        planned = df._jdf.queryExecution().optimizedPlan().toString()
+        assert planned.count("strategy=merge") >= joins
