@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import key_of, resource
-from .graph import Graph
+from .graph import Graph, spread
 
 
 @dataclass(frozen=True)
@@ -147,10 +147,9 @@ def pairs(graph: Graph, path, seeds: DataFrame | None = None, strict: bool = Fal
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return out.distinct()
     if isinstance(path, Alt):
-        out = pairs(graph, path.parts[0], seeds, strict)
-        for p in path.parts[1:]:
-            out = out.unionByName(pairs(graph, p, seeds, strict))
-        return out.distinct()
+        # the whole is made a set once
+        parts = [graph.bag(p.iri).select(F.col("s").alias("start"), F.col("o").alias("end")) if isinstance(p, Pred) else pairs(graph, p, seeds, strict) for p in path.parts]
+        return spread(reduce(DataFrame.unionByName, parts), "start", "end").distinct()
     if isinstance(path, Seq):
         if not path.parts:
             return _identity(graph, seeds)

@@ -19,14 +19,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF, RDFS, SH, SUBCLASS, TYPE, Term, compare, constant, ill_typed, iri, is_term, key_of, regex, resource
-from ..operators.graph import Graph
+from ..functions.terms import KEY, RDF, RDFS, SH, SUBCLASS, TYPE, Term, compare, constant, ill_typed, iri, is_term, key_of, regex, resource
+from ..operators.graph import Graph, spread
 from ..operators.paths import Alt, Inv, Opt, Plus, Pred, Seq, Star, pairs, reach, text_of
 
 COLUMNS = ("focus", "component", "severity", "source_shape", "path", "value", "message")
 NODE_KINDS = {
     "IRI": ("iri",), "BlankNode": ("bnode",), "Literal": ("literal",), "BlankNodeOrIRI": ("bnode", "iri"), "IRIOrLiteral": ("iri", "literal"), "BlankNodeOrLiteral": ("bnode", "literal"),
 }
+#: Subclasses that are joined by broadcast, after a count.
+FEW_CLASSES = 100_000
 SEVERITIES = ("Trace", "Debug", "Info", "Warning", "Violation")
 
 
@@ -112,10 +114,18 @@ class Validator:
         if not levels or not self.graph.may_have(SUBCLASS):
             return direct
         sub = self.subclasses(cls).withColumnRenamed("node", "sub")
+        if sub.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+            # all instances of a class would meet in one task
+            sub = F.broadcast(sub.distinct())
         below = self.graph.pattern(p=TYPE).where(F.col("o.k") == "iri").join(sub, F.col("o.lex") == F.col("sub")).select(F.col("s").alias("node"))
         return direct.unionByName(below)
 
     def focus_nodes(self, shape: Shape) -> DataFrame:
+        kinds = {kind for kind, _ in shape.targets}
+        if kinds and kinds <= {"class", "implicit", "subjectsOf"} and not (len(shape.targets) == 1 and kinds == {"class"}):
+            # resources are told apart by their text, and terms are made of them afterwards
+            names = [self.graph.bag(v).select("s") if k == "subjectsOf" else self.instances(v, k == "implicit" or self.mode != "native") for k, v in shape.targets]
+            return self._resources(reduce(DataFrame.union, names).toDF("node").distinct(), "node")
         parts = []
         for kind, value in shape.targets:
             if kind == "node":
@@ -140,16 +150,17 @@ class Validator:
             return parts[0]
         return reduce(DataFrame.unionByName, parts).dropDuplicates(["fk"])
 
-    def objects(self, focus: DataFrame, path, cls: str | None = None) -> DataFrame:
-        """fk, value: the set of values of each focus node. cls: the class whose instances, all of them, are the focus nodes."""
+    def objects(self, focus: DataFrame, path, cls: str | None = None, once: bool = True) -> DataFrame:
+        """fk, value: the set of values of each focus node. cls: the class whose instances, all of them, are the focus nodes. once: each value once."""
         if isinstance(path, str):
             path = Pred(path)
         if isinstance(path, Pred):
-            found = self.graph.pattern(p=path.iri).select(F.col("s").alias("start"), F.col("o").alias("end"))
+            triples = self.graph.pattern(p=path.iri) if once else self.graph.bag(path.iri)
+            found = triples.select(F.col("s").alias("start"), F.col("o").alias("end"))
             if cls is not None and self.graph.covers(cls, path.iri):
                 return found.select(F.col("start").alias("fk"), F.col("end").alias("value"))
             joined = focus.select("fk").join(found, F.col("fk") == F.col("start")).select("fk", F.col("end").alias("value"))
-            return joined if self.graph.sets else joined.distinct()
+            return joined if self.graph.sets or not once else joined.distinct()
         if cls is not None and isinstance(path, Alt) and all(isinstance(x, Pred) and self.graph.covers(cls, x.iri) for x in path.parts):
             return pairs(self.graph, path).select(F.col("start").alias("fk"), F.col("end").alias("value"))
         seeds = focus.where(F.col("focus.k") != "literal").select(F.col("fk").alias("start"))
@@ -254,18 +265,16 @@ class Validator:
         if c.name == "uniqueLang" and a[0]:
             twice = values.where(F.col("value.lang") != "").groupBy("fk", F.col("value.lang").alias("lang")).agg(F.count("*").alias("n")).where("n > 1")
             return self._rows(shape, twice, c.name)
-        if c.name in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
+        if c.name in ("lessThan", "lessThanOrEquals"):
             other = self.objects(focus, a[0], cls).select("fk", F.col("value").alias("other"))
-            if c.name in ("lessThan", "lessThanOrEquals"):
-                fits = compare(v, "<" if c.name == "lessThan" else "<=", F.col("other"))
-                return self._rows(shape, values.join(other, "fk").where(~F.coalesce(fits, F.lit(False))), c.name, F.col("value.lex"))
-            theirs = other.select("fk", key_of(F.col("other")).alias("vk"), F.col("other").alias("value"))
-            if c.name == "disjoint":
-                return self._rows(shape, keyed.join(theirs.select("fk", "vk"), ["fk", "vk"], "left_semi"), c.name, F.col("value.lex"))
-            # which sides have the value, in one grouping
-            sides = keyed.select("fk", "vk", "value.lex", F.lit(1).alias("side")).unionByName(theirs.select("fk", "vk", "value.lex", F.lit(2).alias("side")))
-            odd = sides.groupBy("fk", "vk").agg(F.bit_or("side").alias("sides"), F.first("lex").alias("lex")).where("sides <> 3")
-            return self._rows(shape, odd, c.name, F.col("lex"))
+            fits = compare(v, "<" if c.name == "lessThan" else "<=", F.col("other"))
+            return self._rows(shape, values.join(other, "fk").where(~F.coalesce(fits, F.lit(False))), c.name, F.col("value.lex"))
+        if c.name in ("equals", "disjoint"):
+            # which sides have the value, in one grouping that makes sets of both; it holds texts as keys alone
+            mine = values if shape.path is None else self.objects(focus, shape.path, cls, once=False)
+            sides = [df.select("fk", *(F.col(f"value.{f}") for f in KEY), F.lit(k).alias("side")) for k, df in ((1, mine), (2, self.objects(focus, a[0], cls, once=False)))]
+            held = spread(sides[0].unionByName(sides[1]), "fk", "lex").groupBy("fk", *KEY).agg(F.bit_or("side").alias("sides"))
+            return self._rows(shape, held.where(F.col("sides") == 3 if c.name == "disjoint" else F.col("sides") != 3), c.name, F.col("lex"))
         if c.name == "property":
             inner = self.check(self._shape(a[0]), self._nodes(shape, focus, values), cls if shape.path is None else None)
             if inner is None or shape.path is None:

@@ -371,3 +371,35 @@ def test_statistics_go_by_subject(spark):
     for df, joins in ((found, 1), (metrics, 1)):
         planned = df._jdf.queryExecution().optimizedPlan().toString()
         assert planned.count("strategy=merge") >= joins
+
+
+def test_pairs_of_properties_are_one_shuffle(spark):
+    """A table whose subjects repeat: both sides of equals and disjoint become sets in the one grouping that compares them."""
+    from graphloom.functions.terms import term
+    from graphloom.operators.graph import LiftedGraph
+
+    df = spark.createDataFrame([(1, "x", "x"), (1, "x", "x"), (2, "x", "y"), (2, "y", "z"), (2, "x", "y"), (3, None, "w")], "k int, a string, b string")
+    value = lambda c: term("literal", F.col(c), XSD + "string")
+    me = F.concat(F.lit("urn:t/"), F.col("k").cast("string"))
+    g = LiftedGraph(spark, {"urn:a": [(df, me, value("a"))], "urn:b": [(df, me, value("b"))]}, {"urn:T": (df, me)}, [df])
+    got = {}
+    for name in ("equals", "disjoint"):
+        node = shacl.Shape("urn:n", targets=(("subjectsOf", "urn:b"),), constraints=(shacl.Constraint("property", ("urn:p",)),))
+        whole = shacl.Shape("urn:n", targets=(("class", "urn:T"),), constraints=(shacl.Constraint("property", ("urn:p",)),))
+        prop = shacl.Shape("urn:p", Pred("urn:a"), constraints=(shacl.Constraint(name, ("urn:b",)),))
+        got[name], other = ([(r.focus[-1], r.value) for r in shacl.validate(g, shacl.Schema.of(s, prop)).collect()] for s in (whole, node))
+        assert sorted(got[name]) == sorted(other)
+        assert shacl.validate(g, shacl.Schema.of(whole, prop))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(got["equals"]) == [("2", "x"), ("2", "z"), ("3", "w")] and sorted(got["disjoint"]) == [("1", "x"), ("2", "y")]
+
+
+def test_instances_of_subclasses_dont_meet_in_one_task(spark):
+    g = FederatedGraph(rdf.from_text(spark, P + ":a a :T . :b a :U . :c a :V ."), h=rdf.from_text(spark, P + ":U rdfs:subClassOf :T . :V rdfs:subClassOf :U ."))
+    for mode, want in (("native", ["a", "b"]), ("spec", ["a", "b", "c"])):
+        v = shacl.Validator(g, shacl.Schema({}), mode)
+        nodes = v.instances("http://e/T", True)
+        assert sorted(r.node[-1] for r in nodes.collect()) == want
+        assert "strategy=broadcast" in nodes._jdf.queryExecution().optimizedPlan().toString()
+    # an alternative is made a set once, over all its parts
+    pair = pairs(rdf.from_text(spark, P + ":a :p :b ; :q :b ."), Alt((Pred("http://e/p"), Pred("http://e/q"))))
+    assert pair.count() == 1 and pair._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
