@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import Term, constant, ill_typed, key_of, resource
-from ..operators.graph import Graph
+from ..operators.graph import Graph, spread
 from ..operators.paths import shared_checkpoints
 from . import rbe
 
@@ -460,17 +460,18 @@ class Validator:
         parts = []
         for (predicate, inverse), own in by_key.items():
             values = self._values(nodes, predicate, inverse)
-            checks, marked = [], values
-            for i in own:
-                plain = value_condition(leaves[i].value, F.col("value"))
-                if plain is None:
-                    targets = values.select(key_of(F.col("value")).alias("fk"), F.col("value").alias("focus")).dropDuplicates(["fk"])
-                    bad = self.failing(leaves[i].value, targets).distinct().select(F.col("fk").alias("bk"), F.lit(1).alias(f"bad{i}"))
-                    marked = marked.join(bad, key_of(F.col("value")) == F.col("bk"), "left").drop("bk")
-                    plain = F.col(f"bad{i}").isNull()
-                checks.append((i, plain))
-            mask = reduce(lambda a, b: a + b, [F.when(c, F.lit(1 << i)).otherwise(0) for i, c in checks]).cast("bigint")
-            rows = marked.select("fk", mask.alias("mask"))
+            plain = {i: value_condition(leaves[i].value, F.col("value")) for i in own}
+            far = [i for i in own if plain[i] is None]
+            mask = reduce(lambda a, b: a + b, [F.lit(1 << i) if i in far else F.when(plain[i], F.lit(1 << i)).otherwise(0) for i in own]).cast("bigint")
+            if far:
+                # one join by the values' keys takes away what they fail, and nothing else of them goes along
+                targets = values.select(key_of(F.col("value")).alias("fk"), F.col("value").alias("focus")).dropDuplicates(["fk"])
+                bad = [self.failing(leaves[i].value, targets).select(F.col("fk").alias("vk"), F.lit(1 << i).cast("bigint").alias("bit")) for i in far]
+                bits = spread(reduce(DataFrame.unionByName, bad), "vk").groupBy("vk").agg(F.bit_or("bit").alias("bits"))
+                keyed = spread(values.select("fk", key_of(F.col("value")).alias("vk"), mask.alias("mask")), "vk")
+                rows = keyed.join(bits, "vk", "left").select("fk", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))).alias("mask"))
+            else:
+                rows = values.select("fk", mask.alias("mask"))
             # what fits nothing is left out under EXTRA, and spoils the node otherwise
             parts.append(rows.where("mask <> 0") if predicate in extra and not inverse else rows)
         out = []
@@ -480,7 +481,8 @@ class Validator:
                 held = rows.groupBy("fk", "mask").agg(F.count("*").alias("n")).groupBy("fk").agg(F.collect_list(F.struct("mask", "n")).alias("groups"))
                 good = held.where(_assignable(expr)(F.col("groups"))).select("fk")
                 if rbe.nullable(expr):
-                    out.append(held.select("fk").join(good, "fk", "left_anti"))
+                    # nodes without triples are fine
+                    out.append(held.where(~_assignable(expr)(F.col("groups"))).select("fk"))
                 else:
                     out.append(nodes.select("fk").join(good, "fk", "left_anti"))
             else:
@@ -519,7 +521,8 @@ class Validator:
         """shapemap: node (a term), shape (a label or START). node, shape, status, reason of each pair."""
         parts = []
         for label in sorted(r["shape"] for r in shapemap.select("shape").distinct().collect()):
-            own = shapemap.where(F.col("shape") == label).select(key_of(F.col("node")).alias("fk"), F.col("node").alias("focus")).dropDuplicates(["fk"])
+            # dealt before they become a set: what is joined with the nodes by key goes to as many tasks
+            own = spread(shapemap.where(F.col("shape") == label).select(key_of(F.col("node")).alias("fk"), F.col("node").alias("focus")), "fk").dropDuplicates(["fk"])
             if label == "START":
                 if self.schema.start is None:
                     raise ShexError("the schema has no start")
@@ -683,7 +686,9 @@ def shape_map(graph: Graph, rows: list[tuple]) -> DataFrame:
         if isinstance(selector, Term):
             df = graph.spark.range(1).select(constant(selector).alias("node"))
         elif selector[0] == "focus":
-            df = graph.pattern(p=selector[1], o=selector[2]).select(resource(F.col("s")).alias("node")).distinct()
+            found = graph.pattern(p=selector[1], o=selector[2]).select("s")
+            # the subjects of a set of triples with one predicate and one object are a set
+            df = (found if graph.sets and selector[2] is not None else found.distinct()).select(resource(F.col("s")).alias("node"))
         elif selector[0] == "object":
             df = graph.pattern(s=selector[1], p=selector[2]).select(F.col("o").alias("node")).distinct()
         else:
