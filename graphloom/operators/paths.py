@@ -207,16 +207,20 @@ def lists(graph: Graph, heads: DataFrame) -> DataFrame:
 
     shared_checkpoints(heads)
     first = graph.pattern(p=RDF + "first").select(F.col("s").alias("at"), F.col("o").alias("value"))
-    rest = graph.pattern(p=RDF + "rest").where(F.col("o.k") != "literal").select(F.col("s").alias("at"), F.col("o.lex").alias("next"))
+    # the links are read in every round, so they are made once
+    links = graph.pattern(p=RDF + "rest").where((F.col("o.k") != "literal") & (F.col("o.lex") != RDF + "nil"))
+    rest = links.select(F.col("s").alias("at"), F.col("o.lex").alias("next")).checkpoint()
+    # where no cell follows two others, the first cell that a walk meets again is its head
+    joined = not rest.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     front = heads.select(F.col("node").alias("head"), F.col("node").alias("at")).distinct().checkpoint()
-    seen, found, position = front, None, 0
-    while not front.isEmpty():
-        here = front.join(first, "at").select("head", F.lit(position).alias("position"), "value")
-        found = here if found is None else found.unionByName(here)
-        front = front.join(rest, "at").select("head", F.col("next").alias("at")).where(F.col("at") != RDF + "nil").join(seen, ["head", "at"], "left_anti").checkpoint()
-        seen = seen.unionByName(front).checkpoint()
+    seen, position = [], 0
+    while not seen or not front.isEmpty():
+        seen = [reduce(DataFrame.unionByName, seen).checkpoint()] if len(seen) >= COMPACT else seen
+        seen.append(front.withColumn("position", F.lit(position)))
+        step = front.join(rest, "at").select("head", F.col("next").alias("at"))
+        front = (step.join(reduce(DataFrame.unionByName, seen), ["head", "at"], "left_anti") if joined else step.where(F.col("at") != F.col("head"))).checkpoint()
         position += 1
-    return found
+    return reduce(DataFrame.unionByName, seen).join(first, "at").select("head", "position", "value")
 
 
 def _identity(graph: Graph, seeds: DataFrame | None) -> DataFrame:

@@ -403,3 +403,20 @@ def test_instances_of_subclasses_dont_meet_in_one_task(spark):
     # an alternative is made a set once, over all its parts
     pair = pairs(rdf.from_text(spark, P + ":a :p :b ; :q :b ."), Alt((Pred("http://e/p"), Pred("http://e/q"))))
     assert pair.count() == 1 and pair._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_lists_are_walked_by_links_that_are_made_once(spark, monkeypatch):
+    from graphloom.operators import paths
+
+    monkeypatch.setattr(paths, "COMPACT", 3)
+    cells = ":a :p _:a1 . _:a1 rdf:first 1 ; rdf:rest _:a2 . _:a2 rdf:first 2 ; rdf:rest _:a3 . _:a3 rdf:first 3 ; rdf:rest _:a1 ."
+    g = rdf.from_text(spark, P + cells + " :b :p ( 1 2 3 4 5 6 7 8 ) .")
+    heads = g.pattern(p="http://e/p").select(F.col("o.lex").alias("node"))
+    got = paths.lists(g, heads)
+    assert sorted((r.position, r.value.lex) for r in got.collect()) == sorted([(i, str(i + 1)) for i in range(3)] + [(i, str(i + 1)) for i in range(8)])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    # two lists with one tail, which loops
+    g = rdf.from_text(spark, P + cells + " :b :p _:b . _:b rdf:first 0 ; rdf:rest _:a2 .")
+    got = paths.lists(g, g.pattern(p="http://e/p").select(F.col("o.lex").alias("node")))
+    assert sorted((r.position, r.value.lex) for r in got.collect()) == [(0, "0"), (0, "1"), (1, "2"), (1, "2"), (2, "3"), (2, "3"), (3, "1")]
+    assert paths.lists(g, heads.limit(0)).count() == 0
