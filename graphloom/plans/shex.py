@@ -467,8 +467,9 @@ class Validator:
                 # one join by the values' keys takes away what they fail, and nothing else of them goes along
                 targets = values.select(key_of(F.col("value")).alias("fk"), F.col("value").alias("focus")).dropDuplicates(["fk"])
                 bad = [self.failing(leaves[i].value, targets).select(F.col("fk").alias("vk"), F.lit(1 << i).cast("bigint").alias("bit")) for i in far]
-                bits = spread(reduce(DataFrame.unionByName, bad), "vk").groupBy("vk").agg(F.bit_or("bit").alias("bits"))
-                keyed = spread(values.select("fk", key_of(F.col("value")).alias("vk"), mask.alias("mask")), "vk")
+                deal = (lambda df: df) if self.assumed else (lambda df: spread(df, "vk"))
+                bits = deal(reduce(DataFrame.unionByName, bad)).groupBy("vk").agg(F.bit_or("bit").alias("bits"))
+                keyed = deal(values.select("fk", key_of(F.col("value")).alias("vk"), mask.alias("mask")))
                 rows = keyed.join(bits, "vk", "left").select("fk", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))).alias("mask"))
             else:
                 rows = values.select("fk", mask.alias("mask"))
@@ -521,8 +522,10 @@ class Validator:
         """shapemap: node (a term), shape (a label or START). node, shape, status, reason of each pair."""
         parts = []
         for label in sorted(r["shape"] for r in shapemap.select("shape").distinct().collect()):
-            # dealt before they become a set: what is joined with the nodes by key goes to as many tasks
-            own = spread(shapemap.where(F.col("shape") == label).select(key_of(F.col("node")).alias("fk"), F.col("node").alias("focus")), "fk").dropDuplicates(["fk"])
+            own = shapemap.where(F.col("shape") == label).select(key_of(F.col("node")).alias("fk"), F.col("node").alias("focus"))
+            start = self.schema.start.label if label == "START" and isinstance(self.schema.start, Ref) else label
+            # dealt before they become a set: what is joined with the nodes by key goes to as many tasks; a fixpoint has many small rounds, that few tasks do sooner
+            own = (own if start in self.schema.shapes and self.schema.recursive(start) else spread(own, "fk")).dropDuplicates(["fk"])
             if label == "START":
                 if self.schema.start is None:
                     raise ShexError("the schema has no start")
